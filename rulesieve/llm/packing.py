@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +33,17 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 LINEAR = 4096
 BLOCK_TOKENS = 2_000_000
-WORD_CACHE = 150_000
+#: Entries after which a worker's word cache starts anew: some 200 MB.
+WORD_CACHE = 800_000
+#: Characters of text that are encoded together.
+ENCODE_CHARS = 2_000_000
 #: Longer words are encoded each time, so the cache stays small.
 LONGEST_CACHED = 64
 
+#: Beyond Latin letters, lower case may depend on context or version.
+_PLAIN = re.compile("[^\x00-\u012f\u0132-\u024f]")
+_STOP = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n]|$)")
+
 PIECES = T.StructType([
     T.StructField("start", T.LongType(), False),
     T.StructField("length", T.LongType(), False),
@@ -51,38 +61,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder(dict):
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+class WordEncoder:
     """Little-endian token ids of texts, encoded word by word.
 
     The tokenizer's pre-tokenizer never joins characters across a space or line
-    feed, so a text's ids are its words' ids in order.  Texts that hold one of
-    the tokenizer's special strings go to the tokenizer whole.
+    feed, nor a letter or digit with punctuation after it, so a text's ids are
+    its parts' ids in order.  Words are looked up in a bounded cache; those that
+    are missing are encoded together.  Lower case is taken early, to share
+    entries, only where it cannot change what the tokenizer sees; texts that hold
+    one of the tokenizer's special strings go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word) if word else b""
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= WORD_CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if self.special is not None and self.special.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("Aa Zz \u00c9") == "aa zz \u00e9"
+        self.cache: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        # a token id has four bytes, the lowest first
+        return [_little(array("I", e.ids)) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list[str]:
+        if self.lowers and _PLAIN.search(text) is None:
+            text = text.lower()
+        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if self.special is not None and self.special.search(t)}
+        parts = [[] if i in whole else self._parts(t) for i, t in enumerate(texts)]
+        if len(self.cache) > WORD_CACHE:
+            self.cache = {"": b""}
+        cache = self.cache
+        missing = [w for w in set().union(*parts) if w not in cache]
+        long = {}
+        for word, ids in zip(missing, self._encode(missing), strict=True):
+            (cache if len(word) <= LONGEST_CACHED else long)[word] = ids
+        if long:
+            cache = cache | long
+        out = [b"".join(map(cache.__getitem__, p)) for p in parts]
+        for i in whole:
+            out[i] = self._encode([texts[i]])[0]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,14 +195,24 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, capa
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["__id", *PIECES.fieldNames()])
 
     for batch in batches:
-        for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
-            ids = encode(value.as_py() or "") + end
-            n = len(ids) // 4
-            block.append((doc_id.as_py(), ids, n))
-            pieces.extend(Piece(len(block) - 1, s, min(capacity, n - s)) for s in range(0, n, capacity))
-            held += n
-            if held >= BLOCK_TOKENS:
-                yield from emit(False)
+        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+        at = 0
+        while at < len(doc_ids):
+            upto, chars = at + 1, sizes[at]
+            while upto < len(doc_ids) and chars + sizes[upto] <= ENCODE_CHARS:
+                chars += sizes[upto]
+                upto += 1
+            some = [t or "" for t in texts.slice(at, upto - at).to_pylist()]
+            for doc_id, ids in zip(doc_ids[at:upto], encode(some), strict=True):
+                ids += end
+                n = len(ids) // 4
+                block.append((doc_id, ids, n))
+                pieces.extend(Piece(len(block) - 1, s, min(capacity, n - s)) for s in range(0, n, capacity))
+                held += n
+                if held >= BLOCK_TOKENS:
+                    yield from emit(False)
+            at = upto
     if pieces:
         yield from emit(True)
 

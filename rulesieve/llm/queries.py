@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, sharding, simhash
+from . import chat, decontam, lm, media, packing, secrets, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -55,8 +55,39 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= toxicity.LIMIT).cast("int").alias("predicted"),
+        F.col("__offending").alias("n_offending"),
+        F.col("__worst").alias("worst_sentence"),
+    )
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_packing, op4_feistel_shards, op9_simhash)}
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_chat_format, op3_packing, op4_feistel_shards, op5_toxicity, op7_media_chunks, op8_benchmark_matches, op9_simhash, op10_lattice_lm,
+    )
+}

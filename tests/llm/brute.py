@@ -88,3 +88,36 @@ def components(ids: list[int], prints: list[int], bits: int = 4) -> dict[int, in
         r = root(place[p])
         least[r] = min(least.get(r, doc), doc)
     return {doc: least[root(place[p])] for doc, p in zip(ids, prints, strict=True)}
+
+
+def word_lm(rows: list[tuple[int, str]]) -> dict[int, tuple]:
+    """doc -> (held_out, n_tokens, n_known, N, base score) of (doc_id, text)."""
+    from math import log10
+
+    tokens = {d: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b"\n"] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    return {
+        d: (held[d], len(ws), sum(w in counts for w in ws), n, sum(log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in tokens.items()
+    }
+
+
+def lattice_probability(word: str, pieces: dict[str, float], byte: list[float]) -> float:
+    """Summed probability of all segmentations, each listed."""
+    from math import exp
+
+    marked = "▁" + word
+
+    def rest(i: int) -> float:
+        if i == len(marked):
+            return 1.0
+        total = sum(exp(pieces[marked[i:j]]) * rest(j) for j in range(i + 1, len(marked) + 1) if marked[i:j] in pieces)
+        if i:
+            p = 1.0
+            for b in marked[i].encode():
+                p *= exp(byte[b])
+            total += p * rest(i + 1)
+        return total
+
+    return rest(0)
