@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, media, packing, secrets, sharding, simhash, toxicity
+from . import chat, decontam, linededup, lm, media, packing, secrets, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -69,6 +69,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,6 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_chat_format, op3_packing, op4_feistel_shards, op5_toxicity, op7_media_chunks, op8_benchmark_matches, op9_simhash, op10_lattice_lm,
+        op1_secret_scan, op2_chat_format, op3_packing, op4_feistel_shards, op5_toxicity, op6_line_dedup, op7_media_chunks, op8_benchmark_matches, op9_simhash, op10_lattice_lm,
     )
 }

@@ -121,3 +121,40 @@ def lattice_probability(word: str, pieces: dict[str, float], byte: list[float])
         return total
 
     return rest(0)
+
+
+def line_report(rows: list[tuple[int, str]], similarity: float = 0.8, least_words: int = 5) -> dict[int, tuple]:
+    """doc -> (n_lines, n_removed, n_links, removed lines), all pairs of line sets compared."""
+    first: dict[frozenset, tuple] = {}
+    places = []
+    n_lines = {}
+    for d, text in sorted(rows):
+        lines = (text or "").split("\n")
+        n_lines[d] = len(lines)
+        for i, line in enumerate(lines):
+            words = frozenset(w for w in re.split(r"[\x20\x09-\x0d]+", line.lower()) if w)
+            if len(words) >= least_words:
+                first.setdefault(words, (d, i))
+                places.append((d, i, words))
+    sets = sorted(first, key=first.get)
+    holders = defaultdict(list)
+    links: Counter = Counter()
+    removed_sets = set()
+    for k, s in enumerate(sets):
+        near = {j for w in s for j in holders[w]}
+        for j in near:
+            both = len(s & sets[j])
+            if both / (len(s) + len(sets[j]) - both) >= similarity - 1e-9:
+                links[k] += 1
+                links[j] += 1
+                removed_sets.add(k)
+        for w in s:
+            holders[w].append(k)
+    number = {s: k for k, s in enumerate(sets)}
+    out = {d: [n, [], 0] for d, n in n_lines.items()}
+    for d, i, s in places:
+        k = number[s]
+        out[d][2] += links[k]
+        if first[s] != (d, i) or k in removed_sets:
+            out[d][1].append(i)
+    return {d: (n, len(gone), linked, ",".join(map(str, sorted(gone)))) for d, (n, gone, linked) in out.items()}
