@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 MAX_CHARS = 200_000
 BUCKETS = 1 << 18
 #: Lengths of the beginnings that are features besides the word.
@@ -73,21 +74,27 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model({}, -30.0 if prior <= 0.5 else 30.0, prior)
     known: dict[str, list[int]] = {}
-    doc_of, sentence_of, feature = [], [], []
+    held = np.zeros(BUCKETS, np.int32)
+    doc_of, sentence_of, feature = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
+        first = len(feature)
         for words in sentences(text):
             s = len(doc_of)
             doc_of.append(d)
             for w in set(words):
                 if w not in known:
                     known[w] = buckets(w)
-                sentence_of += [s] * len(known[w])
-                feature += known[w]
-    doc, sent, feat = np.array(doc_of, np.int64), np.array(sentence_of, np.int64), np.array(feature, np.int64)
-    held = np.bincount(np.unique(feat * len(texts) + doc[sent]) // len(texts), minlength=BUCKETS)
+                for x in known[w]:
+                    sentence_of.append(s)
+                    feature.append(x)
+        held[list(set(feature[first:]))] += 1
+    del known
+    doc, sent, feat = (np.frombuffer(x, np.int32) for x in (doc_of, sentence_of, feature))
+    ids = np.flatnonzero(held >= LEAST_DOCUMENTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
     use = held[feat] >= LEAST_DOCUMENTS
-    ids, feat = np.unique(feat[use], return_inverse=True)
-    sent = sent[use]
+    feat, sent = place[feat[use]], sent[use]
     w, b = np.zeros(len(ids)), -4.0
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     balance = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
