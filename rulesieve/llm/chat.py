@@ -19,7 +19,7 @@ from .shared import staged
 # The template's marks.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What may follow "<" or "[" in a control string, of this template or common others.
-_REST = r"\|[a-z_]+\|>|/?s>|/?INST\]|<?/?SYS>>"
+_REST = r"\|[a-z_]+\|>|/?s>|/?INST\]|</?SYS>>"
 
 
 def escaped(text: Column) -> Column:

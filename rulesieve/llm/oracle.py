@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _SAID = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) AS t(conv_id, turn, role, text))"""
-_MARKS = "len(regexp_extract_all({0}, '[<\\[]\\\\*(\\|[a-z_]+\\|>|/?s>|/?INST\\]|<?/?SYS>>)'))"
+_MARKS = "len(regexp_extract_all({0}, '[<\\[]\\\\*(\\|[a-z_]+\\|>|/?s>|/?INST\\]|</?SYS>>)'))"
 _ORDER = "ORDER BY turn, role, text"
 
 ORACLES = {

@@ -135,7 +135,9 @@ def pack_block(pieces: Iterable[Piece], capacity: int) -> list[tuple[float, list
     """Sequences of ``pieces``, as (cost, pieces), all but at most one of them full.
 
     Descending pieces go to the sequence of lowest cost with room; what does not
-    fit there is cut off and waits its turn as a shorter piece.
+    fit there is cut off and waits its turn as a shorter piece.  There are as many
+    open sequences as the pieces fill; the shortest pieces, left when all are
+    full, make the last sequence.
     """
     waiting = []
     total = 0
@@ -143,10 +145,10 @@ def pack_block(pieces: Iterable[Piece], capacity: int) -> list[tuple[float, list
         total += p.length
         waiting.append((-p.length, p.doc, p.start))
     heapq.heapify(waiting)
-    open_ones: list[tuple[float, int, int]] = [(0.0, i, capacity) for i in range(-(-total // capacity))]
+    open_ones: list[tuple[float, int, int]] = [(0.0, i, capacity) for i in range(total // capacity)]
     made: list[list[Piece]] = [[] for _ in open_ones]
     costs = [0.0] * len(open_ones)
-    while waiting:
+    while open_ones:
         negative, doc, start = heapq.heappop(waiting)
         length = -negative
         cost, i, room = heapq.heappop(open_ones)
@@ -157,6 +159,9 @@ def pack_block(pieces: Iterable[Piece], capacity: int) -> list[tuple[float, list
             heapq.heappush(open_ones, (costs[i], i, room - taken))
         if taken < length:
             heapq.heappush(waiting, (taken - length, doc, start + taken))
+    if waiting:
+        made.append([Piece(doc, start, -negative) for negative, doc, start in sorted(waiting)])
+        costs.append(sum(piece_cost(p.length) for p in made[-1]))
     return list(zip(costs, made, strict=True))
 
 
