@@ -30,8 +30,8 @@ from .shared import staged
 
 HOT = 300_000
 PARTIAL_WORDS = 200_000
-WORD_CACHE = 400_000
-ITERATIONS = 2
+WORD_CACHE = 700_000
+ITERATIONS = 1
 SMOOTHING = 0.1
 #: Longest word whose value is kept; longer ones are computed each time.
 LONGEST_CACHED = 64
@@ -87,18 +87,23 @@ class Lattice:
         self.logs = logs
         self.byte = list(range(special, special + 256))
         self.end = special + 256
-        self.longest = max(map(len, self.index))
         self.pieces = {n: (i, logs[i]) for n, i in self.index.items()}
+        #: Every beginning of a piece, with the piece it is, if it is one.
+        self.begins: dict[str, tuple[int, float] | None] = {n[:k]: None for n in self.pieces for k in range(1, len(n))} | self.pieces
+        self.known: dict[bytes, float] = {}
+        self.letters: dict[str, float] = {}
 
     def arcs(self, word: str) -> list[list[tuple[int, tuple, float]]]:
         """For each end, (start, pieces, log probability) of what may stand there."""
         marked = MARK + word
         n = len(marked)
         found: list[list[tuple[int, tuple, float]]] = [[] for _ in range(n + 1)]
-        pieces = self.pieces
+        begins = self.begins
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                hit = pieces.get(marked[i:j])
+            for j in range(i + 1, n + 1):
+                hit = begins.get(marked[i:j], False)
+                if hit is False:
+                    break
                 if hit is not None:
                     found[j].append((i, (hit[0],), hit[1]))
             if i:
@@ -110,23 +115,30 @@ class Lattice:
         """Natural log of the summed probability of the word's segmentations."""
         marked = MARK + word
         n = len(marked)
-        alpha = [0.0] + [-math.inf] * n
-        pieces, longest, exp, log = self.pieces, self.longest, math.exp, math.log
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                hit = pieces.get(marked[i:j])
+        begins, letters, exp, log = self.begins, self.letters, math.exp, math.log
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        here = 0.0
+        for i in range(n):
+            if i:
+                at = terms[i]
+                if not at:
+                    continue  # no segmentation ends here
+                top = max(at)
+                here = top + log(sum([exp(t - top) for t in at])) if len(at) > 1 else top
+                c = marked[i]
+                lp = letters.get(c)
+                if lp is None:
+                    lp = letters[c] = sum(self.logs[self.byte[b]] for b in c.encode("utf-8", "surrogatepass"))
+                terms[i + 1].append(here + lp)
+            for j in range(i + 1, n + 1):
+                hit = begins.get(marked[i:j], False)
+                if hit is False:
+                    break
                 if hit is not None:
-                    terms.append(alpha[i] + hit[1])
-            if j > 1:
-                c = marked[j - 1]
-                raw = c.encode("utf-8", "surrogatepass")
-                terms.append(alpha[j - 1] + sum(self.logs[self.byte[b]] for b in raw))
-            if terms:
-                top = max(terms)
-                if top > -math.inf:
-                    alpha[j] = top + log(sum(exp(t - top) for t in terms)) if len(terms) > 1 else top
-        return alpha[n]
+                    terms[j].append(here + hit[1])
+        at = terms[n]
+        top = max(at)
+        return top + log(sum([exp(t - top) for t in at]))
 
     def expect(self, word: str, n: float, into: list[float]) -> None:
         """Add ``n`` times the expected number of each piece in ``word``."""
@@ -226,7 +238,7 @@ def _score(batches: Iterator[pa.RecordBatch], hot, path: str | None, logs: tuple
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 36
     seen = 0
-    cache: dict[bytes, float] = {}
+    cache = lattice.known  # lives as long as the worker
     end_n = known.get(b"\n", 0)
     names = ["row", "__id", "word", "n", "n_tokens", "n_known", "base", "score"]
     kinds = [pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
