@@ -45,20 +45,20 @@ def root_to_leaf_paths(nodes: DataFrame, best: int | None = 1, rounds: int = 40)
     )
     parents = linked.filter("up IS NOT NULL").select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
     leaves = linked.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
-    # (node, up): up is 2**k above; above: nodes between node (inclusive) and up (exclusive)
-    jump = staged(linked.select("tree", "node", "up"), "jump")
+    # (node, up): up is 2**k above node; nodes without such an ancestor drop out
+    jump = staged(linked.filter("up IS NOT NULL").select("tree", "node", "up"), "jump")
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
     for k in range(rounds):
-        if jump.filter("up IS NOT NULL").isEmpty():
+        if jump.isEmpty():
             break
         step = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("u2"))
         same = F.col("tree").eqNullSafe(F.col("t2"))
-        higher = path.join(step, same & (F.col("node") == F.col("n2"))).filter("u2 IS NOT NULL").select(
+        higher = path.join(step, same & (F.col("node") == F.col("n2"))).select(
             "tree", "leaf", F.col("u2").alias("node"), (F.col("height") + 2**k).alias("height")
         )
         path = staged(path.unionByName(higher), "paths")
         jump = staged(
-            jump.join(step, same & (F.col("up") == F.col("n2")), "left").select("tree", "node", F.col("u2").alias("up")), "jump"
+            jump.join(step, same & (F.col("up") == F.col("n2"))).select("tree", "node", F.col("u2").alias("up")), "jump"
         )
     else:
         raise ValueError("replies form a cycle")
