@@ -35,6 +35,8 @@ ITERATIONS = 1
 SMOOTHING = 0.1
 #: Longest word whose value is kept; longer ones are computed each time.
 LONGEST_CACHED = 64
+#: Words of a lower probability are fitted in logarithms.
+LEAST_CHANCE = 1e-200
 MARK = "▁"
 _LOG10 = math.log(10)
 
@@ -92,6 +94,9 @@ class Lattice:
         self.begins: dict[str, tuple[int, float] | None] = {n[:k]: None for n in self.pieces for k in range(1, len(n))} | self.pieces
         self.known: dict[bytes, float] = {}
         self.letters: dict[str, float] = {}
+        #: The same as plain probabilities, for ``expect``.
+        self.chances = {n: hit and (hit[0], math.exp(hit[1])) for n, hit in self.begins.items()}
+        self.letter_chances: dict[str, tuple[tuple[int, ...], float]] = {}
 
     def arcs(self, word: str) -> list[list[tuple[int, tuple, float]]]:
         """For each end, (start, pieces, log probability) of what may stand there."""
@@ -141,7 +146,53 @@ class Lattice:
         return top + log(sum([exp(t - top) for t in at]))
 
     def expect(self, word: str, n: float, into: list[float]) -> None:
-        """Add ``n`` times the expected number of each piece in ``word``."""
+        """Add ``n`` times the expected number of each piece in ``word``.
+
+        Plain probabilities serve most words; where their product comes near the
+        least number, the same sums are made of logarithms.
+        """
+        marked = MARK + word
+        size = len(marked)
+        begins, letters = self.chances, self.letter_chances
+        forward = [1.0] + [0.0] * size
+        arcs: list[tuple[int, int, int | tuple, float]] = []
+        for i in range(size):
+            here = forward[i]
+            if not here:
+                continue
+            for j in range(i + 1, size + 1):
+                hit = begins.get(marked[i:j], False)
+                if hit is False:
+                    break
+                if hit is not None:
+                    piece, p = hit
+                    arcs.append((i, j, piece, p))
+                    forward[j] += here * p
+            if i:
+                c = marked[i]
+                letter = letters.get(c)
+                if letter is None:
+                    ids = tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
+                    letter = letters[c] = ids, math.exp(sum(self.logs[x] for x in ids))
+                arcs.append((i, i + 1, *letter))
+                forward[i + 1] += here * letter[1]
+        if forward[size] < LEAST_CHANCE:
+            self._expect_logs(word, n, into)
+            return
+        scale = n / forward[size]
+        backward = [0.0] * size + [1.0]
+        for i, j, piece, p in reversed(arcs):
+            q = p * backward[j]
+            if q:
+                backward[i] += q
+                share = scale * forward[i] * q
+                if type(piece) is int:
+                    into[piece] += share
+                else:
+                    for x in piece:
+                        into[x] += share
+
+    def _expect_logs(self, word: str, n: float, into: list[float]) -> None:
         arcs = self.arcs(word)
         size = len(arcs)
         alpha = [0.0] + [-math.inf] * (size - 1)
@@ -234,24 +285,31 @@ def fit_pieces(counts: DataFrame, path: str | None = None, iterations: int = ITE
 def _score(batches: Iterator[pa.RecordBatch], hot, path: str | None, logs: tuple | None, denominator: float) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text, and rows (word, n) of its words that are not hot."""
     lattice = _lattice(path, logs)
-    known = hot.value
+    known = hot.value  # log10 of the base probability
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 36
     seen = 0
     cache = lattice.known  # lives as long as the worker
-    end_n = known.get(b"\n", 0)
+    end = known.get(b"\n")
+    end_known, end_base = (0, -math.log10(denominator)) if end is None else (1, end)
+    end_score = lattice.logs[lattice.end]
     names = ["row", "__id", "word", "n", "n_tokens", "n_known", "base", "score"]
-    kinds = [pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def out(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+        size = len(columns["row"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[n]) if n in columns else pa.nulls(size, kinds[n]) for n in names], names=names)
+
     for batch in batches:
-        kinds[1] = batch.schema.field(0).type
+        kinds = dict(zip(names, [pa.int64(), batch.schema.field(0).type, pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64()], strict=True))
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            rows: list[list] = [[] for _ in names]
-            for doc_id, text in zip(some.column(0), some.column(1), strict=True):
+            whole: dict[str, list] = {n: [] for n in ("row", "n_tokens", "n_known", "base", "score")}
+            rest: dict[str, list] = {n: [] for n in ("row", "word", "n")}
+            for text in some.column(1):
                 words = words_of(text.as_py())
                 row = base + seen
                 seen += 1
-                n_known, total, score = (1 if end_n else 0), math.log10((end_n + 1) / denominator), lattice.logs[lattice.end]
+                n_known, total, score = end_known, end_base, end_score
                 for word, n in Counter(words).items():
                     lp = cache.get(word)
                     if lp is None:
@@ -263,14 +321,17 @@ def _score(batches: Iterator[pa.RecordBatch], hot, path: str | None, logs: tuple
                     score += n * lp
                     c = known.get(word)
                     if c is None:
-                        for column, v in zip(rows, (row, None, word, n, None, None, None, None), strict=True):
-                            column.append(v)
+                        rest["row"].append(row)
+                        rest["word"].append(word)
+                        rest["n"].append(n)
                     else:
                         n_known += n
-                        total += n * math.log10((c + 1) / denominator)
-                for column, v in zip(rows, (row, doc_id.as_py(), None, None, len(words) + 1, n_known, total, score / _LOG10), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+                        total += n * c
+                for name, v in (("row", row), ("n_tokens", len(words) + 1), ("n_known", n_known), ("base", total), ("score", score / _LOG10)):
+                    whole[name].append(v)
+            yield out(whole | {"__id": some.column(0).to_pylist()}, kinds)
+            if rest["row"]:
+                yield out(rest, kinds)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, hot_words: int = HOT) -> DataFrame:
@@ -291,10 +352,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = facts["N"], facts["V"]
     least = next(t for i, t in enumerate(thresholds) if facts[f"t{i}"] <= hot_words)
     frequent = counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(b"\n"))).collect()  # at most hot_words + 1 rows
-    hot = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in frequent})
+    denominator = float(total + distinct + 1)
+    hot = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["n"] + 1) / denominator) for r in frequent})
     del frequent
     logs = fit_pieces(counts, vocabulary_path)
-    denominator = float(total + distinct + 1)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = texts.schema["__id"].dataType.simpleString()
     schema = f"row bigint, __id {kind}, word binary, n bigint, n_tokens bigint, n_known bigint, base double, score double"
