@@ -248,6 +248,22 @@ def test_op6_odd_rows(odd, empty):
     assert linededup.line_report(empty).count() == 0 and linededup.without_repeated_lines(empty).count() == 0
 
 
+def test_op6_crowds_are_settled_by_leaders(spark):
+    words = [f"w{i}" for i in range(30)]
+    texts = []
+    for k in range(150):
+        line = words.copy()
+        for j in range(k % 6):
+            line[(7 * k + 11 * j) % 30] = f"own{k}x{j}"
+        texts.append((k, " ".join(line) + f"\nalone{k} b{k} c{k} d{k} e{k}\n" + " ".join(words[:24])))
+    docs = spark.createDataFrame([(k, texts[-1 - k][1]) for k in range(150)], "doc_id bigint, text string")
+    expected = {(r["d"]["id"], r["line_no"]) for r in linededup.line_verdicts(docs).filter("removed").collect()}
+    got = [(r["d"]["id"], r["line_no"]) for r in linededup.removed_lines(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 200
+    report = brute.line_report([(k, texts[-1 - k][1]) for k in range(150)])
+    assert expected == {(d, int(i)) for d, r in report.items() for i in r[3].split(",") if i}
+
+
 # media
 
 
