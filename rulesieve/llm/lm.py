@@ -31,11 +31,11 @@ from .shared import staged
 HOT = 300_000
 PARTIAL_WORDS = 200_000
 WORD_CACHE = 700_000
-ITERATIONS = 1
+ITERATIONS = 2
 SMOOTHING = 0.1
 #: Longest word whose value is kept; longer ones are computed each time.
 LONGEST_CACHED = 64
-#: Words of a lower probability are fitted in logarithms.
+#: Words of a lower probability are fitted and scored in logarithms.
 LEAST_CHANCE = 1e-200
 MARK = "▁"
 _LOG10 = math.log(10)
@@ -94,7 +94,7 @@ class Lattice:
         self.begins: dict[str, tuple[int, float] | None] = {n[:k]: None for n in self.pieces for k in range(1, len(n))} | self.pieces
         self.known: dict[bytes, float] = {}
         self.letters: dict[str, float] = {}
-        #: The same as plain probabilities, for ``expect``.
+        #: The same as plain probabilities, which serve most words.
         self.chances = {n: hit and (hit[0], math.exp(hit[1])) for n, hit in self.begins.items()}
         self.letter_chances: dict[str, tuple[tuple[int, ...], float]] = {}
 
@@ -118,6 +118,34 @@ class Lattice:
 
     def log_probability(self, word: str) -> float:
         """Natural log of the summed probability of the word's segmentations."""
+        marked = MARK + word
+        size = len(marked)
+        begins, letters = self.chances, self.letter_chances
+        forward = [1.0] + [0.0] * size
+        for i in range(size):
+            here = forward[i]
+            if not here:
+                continue  # no segmentation ends here
+            for j in range(i + 1, size + 1):
+                hit = begins.get(marked[i:j], False)
+                if hit is False:
+                    break
+                if hit is not None:
+                    forward[j] += here * hit[1]
+            if i:
+                letter = letters.get(marked[i])
+                if letter is None:
+                    letter = self._letter(marked[i])
+                forward[i + 1] += here * letter[1]
+        return math.log(forward[size]) if forward[size] >= LEAST_CHANCE else self._log_probability_logs(word)
+
+    def _letter(self, c: str) -> tuple[tuple[int, ...], float]:
+        """The bytes of a character and their probability, kept for the next time."""
+        ids = tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
+        found = self.letter_chances[c] = ids, math.exp(sum(self.logs[x] for x in ids))
+        return found
+
+    def _log_probability_logs(self, word: str) -> float:
         marked = MARK + word
         n = len(marked)
         begins, letters, exp, log = self.begins, self.letters, math.exp, math.log
@@ -172,8 +200,7 @@ class Lattice:
                 c = marked[i]
                 letter = letters.get(c)
                 if letter is None:
-                    ids = tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
-                    letter = letters[c] = ids, math.exp(sum(self.logs[x] for x in ids))
+                    letter = self._letter(c)
                 arcs.append((i, i + 1, *letter))
                 forward[i + 1] += here * letter[1]
         if forward[size] < LEAST_CHANCE:

@@ -429,6 +429,23 @@ def test_op10_sums_all_segmentations():
     assert sum(map(exp, lattice.logs)) == pytest.approx(1.0)
 
 
+def test_op10_fits_two_rounds(spark):
+    """The second round sees the first one's probabilities and fits the words better."""
+    words = {b"internationalisation": 40, b"the": 900, b"rethinking": 7, "élevi".encode(): 30, b"thandion": 12, b"\n": 50}
+    counts = spark.createDataFrame(list(words.items()), "word binary, n bigint")
+    made, once, twice = lm.fit_pieces(counts), lm.fit_pieces(counts, iterations=1), lm.fit_pieces(counts, iterations=2)
+    assert made == pytest.approx(twice, rel=1e-9) and made != pytest.approx(once, rel=1e-6)
+    fit = lambda logs: sum(n * lm.Lattice(lm.vocabulary(None)[0], list(logs)).log_probability(w.decode()) for w, n in words.items() if w != b"\n")
+    assert fit(made) > fit(once)
+
+
+def test_op10_long_words_are_scored_in_logs():
+    lattice = lm._lattice(None, None)
+    for word in ("the", "thandion" * 4, "ñ☃" * 9):
+        assert lattice.log_probability(word) == pytest.approx(lattice._log_probability_logs(word), rel=1e-12)
+    assert lattice.log_probability("q☃" * 4000) == lattice._log_probability_logs("q☃" * 4000) < -460
+
+
 def test_op10_odd_rows(odd, empty):
     got = lm.score_documents(odd).toPandas()
     assert len(got) == len(ODD) and got[got.doc_id == 2].n_tokens.tolist() == [1]
