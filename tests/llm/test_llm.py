@@ -238,6 +238,19 @@ def test_op6(spark, sf_dir, texts):
     assert got == expected
 
 
+def test_op6_short_lines(spark, sf_dir, texts):
+    """Lines of one to four different words link and go like any others."""
+    junk = "ha " * 60 + "ho"
+    rows = [(1, "a b c d\nRead more\n\n" + junk), (2, "read  MORE\na b c d e\n \nx"), (3, f"x\n{junk}\na b c e\n\n"), (4, "a b\nx y z\nb\ta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"], r["removed_lines"]) for r in linededup.line_report(docs).collect()}
+    assert got == brute.line_report(rows, least_words=1) and [got[d][3] for d in (1, 2, 3, 4)] == ["", "0,1", "0,1,2", "2"]
+    kept = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(docs).collect()}
+    assert kept == {1: rows[0][1], 2: " \nx", 3: "\n", 4: "a b\nx y z"}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"], r["removed_lines"]) for r in queries.op6_line_dedup(spark, sf_dir).collect()}
+    assert got == brute.line_report(list(texts.items()), least_words=1)
+
+
 def test_op6_odd_rows(odd, empty):
     got = linededup.line_report(odd).toPandas()
     assert len(got) == len(ODD)
