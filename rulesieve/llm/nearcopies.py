@@ -1,0 +1,107 @@
+"""Near copies of whole documents by an exact set-similarity join.
+
+A document is the set of its lower-case ``WIDTH``-word shingles (a shorter text
+is one shingle).  A document is removed if an earlier one, by id and text hash,
+has a Jaccard similarity of at least ``SIMILARITY`` with it; so no two documents
+that stay are that similar.  Texts without words are copies of each other.
+
+The join is that of ``linededup``: shingles that are rare come first, prefixes
+are joined, and what passes the filters is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .linededup import HASH_BITS, RARITY_BUCKETS, SIMILARITY, _with_key, later_firsts
+from .shared import staged, text_or_empty
+from .simhash import shingle_hashes
+
+WIDTH = 5
+
+
+def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(RARITY_BUCKETS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            counts += np.bincount(shingle_hashes(text.as_py(), width) & np.uint64(RARITY_BUCKETS - 1), minlength=RARITY_BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARITY_BUCKETS, dtype=np.int32)), pa.array(counts)], names=["bucket", "n"])
+
+
+def _levels(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """For each hash bucket of shingles, four times log2 of its occurrences, at most 127."""
+    texts = docs.select(text_or_empty(text_col).alias("text"))
+    counts = texts.mapInArrow(lambda it: _count(it, width), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    levels = np.zeros(RARITY_BUCKETS, np.uint64)
+    for bucket, n in counts.collect():
+        levels[bucket] = min(127, int(4 * np.log2(n + 1)))
+    return levels
+
+
+def _words(text: str, width: int, levels: np.ndarray) -> np.ndarray:
+    """The text's different shingles as numbers, rarest first."""
+    hashes = shingle_hashes(text, width)
+    return np.unique(levels[hashes & np.uint64(RARITY_BUCKETS - 1)] << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1))
+
+
+def _parity(words: np.ndarray, half: int) -> int:
+    mine = words[(words >> np.uint64(6) & np.uint64(1)) == half]
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (mine & np.uint64(63)), initial=np.uint64(0)).astype(np.int64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, levels: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """A row of class, size, parity maps and prefix for each document."""
+    signed = lambda data, seed: int(np.uint64(xxhash.xxh64_intdigest(data, seed)).astype(np.int64))
+    for batch in batches:
+        rows = []
+        for text in batch.column(1):
+            words = _words(text.as_py(), width, levels)
+            n, data = len(words), words.tobytes()
+            prefix = words[: n - int(np.ceil(n * similarity - 1e-9)) + 1].astype(np.int64)
+            rows.append((n, signed(data, 1), signed(data, 2), _parity(words, 0), _parity(words, 1), prefix))
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["d", "n", "c1", "c2", "b1", "b2", "prefix"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], width: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [_words(t.as_py(), width, levels).astype(np.int64) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], names=["c1", "first", "words"])
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the near copies of earlier documents; columns unchanged.
+
+    Rows are told apart by id and text hash: of rows that repeat both, one stays;
+    an id on rows of different texts is as many documents.  A null id sorts
+    first and is a document like any other; null text is empty text.
+    """
+    levels = _levels(docs, text_col, width)
+    keyed = _with_key(docs, id_col, text_col)
+    kind = keyed.schema["d"].dataType.simpleString()
+    made = keyed.mapInArrow(lambda it: _sets(it, width, levels, similarity), f"d {kind}, n int, c1 bigint, c2 bigint, b1 bigint, b2 bigint, prefix array<bigint>")
+    rows = staged(made, "documents")
+    classes = rows.groupBy("c1", "c2").agg(F.min("d").alias("first"), F.max(F.struct("n", "b1", "b2", "prefix")).alias("of"))
+    firsts = staged(classes.select("c1", "c2", "first", "of.*"), "classes")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct()
+        wanted = firsts.join(asked, "c1", "left_semi").select("c1", "first")
+        texts = keyed.join(wanted, keyed["d"] == wanted["first"]).select("c1", "first", "text")
+        return texts.mapInArrow(lambda it: _whole(it, width, levels), f"c1 bigint, first {kind}, words array<bigint>").dropDuplicates(["first"])
+
+    gone = later_firsts(firsts.filter("n > 0"), sets_of, similarity)
+    kept = staged(firsts.select("first").join(gone, "first", "left_anti"), "kept")
+    repeated = rows.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("d").alias("first"))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
+    once = docs.withColumn("__d", key)
+    single, several = kept.join(repeated, "first", "left_anti"), kept.join(repeated, "first", "left_semi")
+    alone = once.join(single, once["__d"] == single["first"], "left_semi")
+    return alone.unionByName(once.join(several, once["__d"] == several["first"], "left_semi").dropDuplicates(["__d"])).select(*docs.columns)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rulesieve.llm import chat, components, decontam, linededup, lm, media, packing, queries, secrets, sharding, simhash, toxicity
+from rulesieve.llm import chat, components, decontam, linededup, lm, media, nearcopies, packing, queries, secrets, sharding, simhash, toxicity
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta " * 4000
 ODD = [
@@ -405,6 +405,40 @@ def test_op9_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Edited copies whose fingerprints are more than four bits apart go too."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = [" ".join(word() for _ in range(rng.randint(100, 400))) for _ in range(12)]
+    for base in texts[:8]:
+        for rate in (0.005, 0.01, 0.02, 0.03, 0.06) * 9:
+            texts.append(" ".join(word() if rng.random() < rate else w for w in base.split()))
+    texts += ["", None, " ", "one two", "one  TWO", "one two three"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [shingles(t) for t in texts]
+    expected = {i for i, s in enumerate(sets) if not any(alike(s, e) for e in sets[:i])}
+    got = [r["doc_id"] for r in p.drop_near_copies(spark, docs, None).collect()]
+    assert sorted(got) == sorted(expected) and len(expected) < len(texts) // 2
+
+
+def test_near_copies_odd_rows(odd, empty):
+    kept = nearcopies.without_near_copies(odd)
+    assert kept.columns == odd.columns and nearcopies.without_near_copies(empty).count() == 0
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "4", "5", "7", "None"]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (700, 600)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
