@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linededup import HASH_BITS, RARITY_BUCKETS, SIMILARITY, _with_key, later_firsts
-from .shared import staged, text_or_empty
+from .shared import one_row_each, staged, text_or_empty
 from .simhash import shingle_hashes
 
 WIDTH = 5
@@ -99,9 +99,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     gone = later_firsts(firsts.filter("n > 0"), sets_of, similarity)
     kept = staged(firsts.select("first").join(gone, "first", "left_anti"), "kept")
-    repeated = rows.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("d").alias("first"))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
-    once = docs.withColumn("__d", key)
-    single, several = kept.join(repeated, "first", "left_anti"), kept.join(repeated, "first", "left_semi")
-    alone = once.join(single, once["__d"] == single["first"], "left_semi")
-    return alone.unionByName(once.join(several, once["__d"] == several["first"], "left_semi").dropDuplicates(["__d"])).select(*docs.columns)
+    return one_row_each(docs, key, kept, rows.select("d"))

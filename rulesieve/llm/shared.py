@@ -75,5 +75,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def one_row_each(docs: DataFrame, key: Column, kept: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``first`` in ``kept``; ``keys`` has the ``d`` of all rows, repeats included.
+
+    Only rows whose key repeats are shuffled.
+    """
+    repeated = keys.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("d").alias("first"))
+    once = docs.withColumn("__d", key)
+    single, several = kept.join(repeated, "first", "left_anti"), kept.join(repeated, "first", "left_semi")
+    alone = once.join(single, once["__d"] == single["first"], "left_semi")
+    return alone.unionByName(once.join(several, once["__d"] == several["first"], "left_semi").dropDuplicates(["__d"])).select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import staged
+from .shared import one_row_each, staged, text_or_empty
 
 SHINGLE = 4
 SEED = 42
@@ -202,8 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """The documents that are their component's first; ``docs``' columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col, width)
-    gone = found.filter(f"`{id_col}` IS NOT NULL AND `{id_col}` != component_id").select(F.col(id_col).alias("__gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept
+    """One row of each component, the first by id and text hash; ``docs``' columns unchanged.
+
+    An id on rows of different texts is as many documents; of rows that repeat
+    both id and text one stays.  A null id comes after all others, and its row
+    stays only if its component has no other id.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
+    found = staged(near_duplicates(docs.select(key.alias("d"), text_col), "d", text_col, width), "components")
+    kept = found.select(F.col("component_id").alias("first")).distinct()
+    return one_row_each(docs, key, kept, found.select("d"))

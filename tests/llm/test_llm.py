@@ -405,6 +405,14 @@ def test_op9_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("pick", [simhash.one_of_each, nearcopies.without_near_copies])
+def test_one_of_each_repeated_and_null_ids(spark, pick):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, one), (2, one), (2, other), (5, third), (None, third), (7, other)]
+    kept = [r["text"] for r in pick(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [one, other, third]
+
+
 def shingles(text, width=5):
     words = (text or "").lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
