@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.08
-#: Items whose normal form is shorter are matched exactly only.
-SHORTEST_EDITED = 40
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 5_000_000
 _SPACE = re.compile(r"\s+")
@@ -35,7 +33,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float = RATE) -> int:
-    return int(length * rate) if length >= SHORTEST_EDITED else 0
+    return int(length * rate)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:

@@ -356,6 +356,12 @@ def test_op8_against_all_pairs(spark):
     assert got == expected and len(expected) > 10
 
 
+def test_op8_short_items_have_a_budget(spark):
+    items = spark.createDataFrame([(1, "thirteen char"), (2, "an item of thirty-nine characters here."), (3, "twelve chars")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so thirtein char ends"), (2, "an itm of thirty-nine charakters hero."), (3, "twelwe chars"), (4, "xx thirtein chur")], "doc_id long, text string")
+    assert {tuple(r) for r in decontam.benchmark_matches(docs, items).select("doc_id", "item_id", "distance").collect()} == {(1, 1, 1), (2, 2, 3)}
+
+
 def test_op8_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (1, "other"), (None, "token: short")], "item_id long, text string")
     got = decontam.benchmark_matches(odd, items)
