@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     cleaned = linededup.without_repeated_lines(docs.select(*COLUMNS, F.length("text").alias("__before")))
     return (
-        cleaned.filter((F.coalesce(F.col("__before"), F.lit(0)) == 0) | (F.length(F.trim("text")) > 0))
+        cleaned.filter(~F.coalesce(F.length("text") < F.col("__before"), F.lit(False)) | F.col("text").rlike(r"\S"))
         .withColumn("n_chars", F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
         .select(*COLUMNS)
     )

@@ -543,6 +543,15 @@ def test_pipeline_stages(spark, sf_dir, texts):
     check_packing(p.STAGES[-1][1](spark, current, sf_dir).toPandas(), after.items(), packing.CAPACITY)
 
 
+def test_pipeline_blank_texts_stay(spark):
+    import corpus_pipeline as p
+
+    line = "one two three four five six"
+    texts = [line, "   ", "\n\n", "", None, line, line + "\n \n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in p.drop_repeated_lines(spark, docs, None).collect()} == dict(enumerate(texts[:5]))
+
+
 def test_pipeline_on_nothing(spark, sf_dir):
     import corpus_pipeline as p
 
