@@ -670,7 +670,7 @@ def m_contrast(spark, sf):
 def m_trees(spark, sf):
     d = table(spark, sf, "customer").withColumn("y", (F.col("c_acctbal") > 4000).cast("int"))
     parts = splitting.split(d, "c_custkey", 0.3, "test", "test")
-    scored_rows = downstream.fit_trees(parts.filter("NOT test"), parts.filter("test"), ["c_nationkey", "c_custkey"], iterations=5)
+    scored_rows = downstream.fit_trees(parts.filter("NOT test"), parts.filter("test"), ["c_nationkey", "c_custkey"])
     return downstream.roc_auc(scored_rows)
 
 

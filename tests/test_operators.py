@@ -165,3 +165,23 @@ def test_streaming_gate(spark, sf_dir, tmp_path):
     assert got[0] == whole[0] and got[1] == pytest.approx(whole[1])
     with pytest.raises(ValueError):
         gate.gate(stream, [Rule("value", "unique")])
+
+
+def test_m_trees_fits_all_rounds(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from rulesieve.operators import downstream
+    from rulesieve.plans import catalogue
+
+    asked = []
+    signature = inspect.signature(downstream.fit_trees)
+
+    def fit(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["iterations"])
+        return bound.arguments["test"].withColumn("score", F.rand(1))
+
+    monkeypatch.setattr(downstream, "fit_trees", fit)
+    catalogue.m_trees(spark, sf_dir).collect()
+    assert asked == [150]
