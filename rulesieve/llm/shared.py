@@ -70,6 +70,18 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -81,10 +93,11 @@ def one_row_each(docs: DataFrame, key: Column, kept: DataFrame, keys: DataFrame)
     Only rows whose key repeats are shuffled.
     """
     repeated = keys.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("d").alias("first"))
-    once = docs.withColumn("__d", key)
+    (d,) = fresh_names(docs, "d")
+    once = docs.withColumn(d, key)
     single, several = kept.join(repeated, "first", "left_anti"), kept.join(repeated, "first", "left_semi")
-    alone = once.join(single, once["__d"] == single["first"], "left_semi")
-    return alone.unionByName(once.join(several, once["__d"] == several["first"], "left_semi").dropDuplicates(["__d"])).select(*docs.columns)
+    alone = once.join(single, once[d] == single["first"], "left_semi")
+    return alone.unionByName(once.join(several, once[d] == several["first"], "left_semi").dropDuplicates([d])).select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

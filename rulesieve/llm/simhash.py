@@ -4,18 +4,19 @@ A fingerprint holds, for each of 64 bits, whether that bit is set in over half
 of the hashes of a text's word shingles.  Two texts link when their
 fingerprints differ in at most four bits.
 
-Search: cut the fingerprint into two 32-bit segments.  Of two linked
-fingerprints, one segment differs in at most two bits, so the balls of radius
-one around both values share a point.  Every distinct fingerprint is therefore
-entered under the 33 points around each of its segments (66 entries, whatever
+Search: cut the fingerprint into so many segments that one of them differs in at
+most two bits (for four bits two segments of 32), so the balls of radius one
+around both values share a point.  Every distinct fingerprint is entered under
+the points around each of its segments (66 entries for two segments, whatever
 the input), and all members of an entry are verified by full distance.
 
-An entry's members arrive sorted.  Up to ``BUCKET`` of them are compared in
-place and leave a spanning forest of their links, never all pairs.  Larger
-entries - crowds of near copies - are not compared: their members are dealt out
-again under all 2081 fingerprints within two bits of their own.  Members of one
+An entry's members arrive sorted.  Up to ``SMALL`` of them are all compared; up
+to ``BUCKET`` in place, leaving a spanning forest of their links, never all
+pairs.  Larger entries - crowds of near copies - are dealt out again.  For four
+bits, under all 2081 fingerprints within two bits of their own: members of one
 such ball are within four bits of each other by construction, and any two
-fingerprints within four bits share one, so a star per ball loses no link.
+fingerprints within four bits share one, so a star per ball loses no link.  For
+more bits, under the points around segments cut at other places.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ SEED = 42
 DIFFERING_BITS = 4
 #: Members of an index entry that are compared with each other in one task.
 BUCKET = 16384
+#: Up to so many all pairs of an entry are compared; beyond, a spanning forest of the links is enough.
+SMALL = 64
+#: Of the search for near copies to remove: words of a shingle, differing bits, least Jaccard similarity of shingle sets.
+COPY_SHINGLE, COPY_BITS, COPY_SIMILARITY = 5, 8, 0.8
 _BITS = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
@@ -100,57 +105,98 @@ def _forest(members: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _verify(batches: Iterator[pa.RecordBatch], bits: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of equal keys; members of crowded entries as (fp, null)."""
-    key, run, crowded = None, np.empty(0, np.int64), False
+def _runs(keys: np.ndarray, values: np.ndarray, bits: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Links ``(a, b, None)`` inside each run of equal keys; members of crowded runs as ``(fp, key, crowd)``."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(keys)]
+    sizes = ends - starts
+    large = sizes > min(SMALL, bucket)
+    for i, j in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+        if j - i > bucket:
+            yield values[i:j], keys[i:j], np.ones(j - i, bool)
+            continue
+        left, right = _forest(values[i:j].view(np.uint64), bits)
+        if left:
+            yield values[i:j][left], values[i:j][right], None
+    left_over = np.where(large, starts, ends).repeat(sizes)  # where each row's run ends; large runs are done
+    at = np.arange(len(keys))
+    prints = values.view(np.uint64)
+    for step in range(1, SMALL):
+        at = at[at + step < left_over[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= bits]
+        if len(near):
+            yield values[near], values[near + step], None
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-        return pa.RecordBatch.from_arrays([pa.array(a), second], names=["a", "b"])
 
-    def links(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(values) > 1:
-            left, right = _forest(values.view(np.uint64), bits)
-            if left:
-                yield out(values[left], values[right])
+def _verify(batches: Iterator[pa.RecordBatch], bits: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of equal keys, as (a, b, null); members of crowded entries as (fp, null, key)."""
+    keys, values, crowded = np.empty(0, np.int64), np.empty(0, np.int64), None
+
+    def out(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if crowd is not None else pa.array(b), none if crowd is None else pa.array(b)], names=["a", "b", "k"])
 
     for batch in batches:
-        keys = np.asarray(batch.column(0))
-        values = np.asarray(batch.column(1))
+        keys = np.concatenate([keys, np.asarray(batch.column(0))])
+        values = np.concatenate([values, np.asarray(batch.column(1))])
+        if crowded is not None:
+            n = int(np.searchsorted(keys, crowded, side="right"))
+            if n:
+                yield out(values[:n], keys[:n], np.ones(n, bool))
+            keys, values = keys[n:], values[n:]
         if not len(keys):
             continue
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if keys[i] != key:
-                if not crowded:
-                    yield from links(run)
-                key, run, crowded = keys[i], np.empty(0, np.int64), False
-            part = values[i:j]
-            if crowded:
-                yield out(part, None)
-            elif len(run) + len(part) > bucket:
-                yield out(np.concatenate([run, part]), None)
-                run, crowded = np.empty(0, np.int64), True
-            else:
-                run = np.concatenate([run, part])
-    if not crowded:
-        yield from links(run)
-
-
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the points around its two segments."""
-    low = np.uint64(0xFFFFFFFF)
-    flips = np.concatenate([[np.uint64(0)], _BITS[:32]])
+        crowded = None
+        open_from = int(np.searchsorted(keys, keys[-1]))
+        if open_from:
+            for found in _runs(keys[:open_from], values[:open_from], bits, bucket):
+                yield out(*found)
+        keys, values = keys[open_from:], values[open_from:]
+        if len(keys) > bucket:
+            yield out(values, keys, np.ones(len(keys), bool))
+            crowded, keys, values = keys[0], keys[:0], values[:0]
+    if len(keys):
+        for found in _runs(keys, values, bits, bucket):
+            yield out(*found)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under the points around its segments."""
+    segments = bits // 3 + 1
+    cuts = [64 * i // segments for i in range(segments + 1)]
     for batch in batches:
         fp = np.asarray(batch.column(0)).view(np.uint64)
         for i in range(0, len(fp), 4096):
             some = fp[i : i + 4096]
-            first = ((some & low)[:, None] ^ flips).ravel()
-            second = ((some >> np.uint64(32))[:, None] ^ flips).ravel() | (np.uint64(1) << np.uint64(32))
-            members = np.repeat(some, len(flips)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([first, second]).view(np.int64)), pa.array(np.concatenate([members, members]))], names=["k", "fp"]
-            )
+            keys, members = [], []
+            for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                flips = np.concatenate([[np.uint64(0)], _BITS[: high - low]])
+                part = some >> np.uint64(low) & np.uint64((1 << high - low) - 1)
+                keys.append((part[:, None] ^ flips).ravel() | np.uint64(k) << np.uint64(32))
+                members.append(np.repeat(some, len(flips)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(members).view(np.int64))], names=["k", "fp"])
+
+
+def _entries_in_crowds(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Members (fp, k) of crowded entries, under their entry and the points around segments of the whole fingerprint cut elsewhere."""
+    segments = bits // 3 + 1
+    cuts = [64 * i // segments for i in range(segments)]
+    width = 64 // segments
+    for batch in batches:
+        fp, entry = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).view(np.uint64)
+        for i in range(0, len(fp), 4096):
+            some, keys = fp[i : i + 4096], []
+            turned = some << np.uint64(width // 2) | some >> np.uint64(64 - width // 2)
+            for k, low in enumerate(cuts):
+                high = cuts[k + 1] if k + 1 < segments else 64
+                flips = np.concatenate([[np.uint64(0)], _BITS[: high - low]])
+                part = turned >> np.uint64(low) & np.uint64((1 << high - low) - 1)
+                point = (part[:, None] ^ flips).ravel() | np.uint64(k) << np.uint64(32)
+                keys.append((point * np.uint64(0x9E3779B97F4A7C15)) ^ (np.repeat(entry[i : i + 4096], len(flips)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            members = np.concatenate([np.repeat(some, 1 + (cuts[k + 1] if k + 1 < segments else 64) - low) for k, low in enumerate(cuts)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(members.view(np.int64))], names=["k", "fp"])
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,21 +212,27 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fingerprint_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct ``fp`` within four bits."""
-    entries = prints.mapInArrow(_entries, "k bigint, fp bigint")
-    found = staged(
-        entries.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _verify(it, DIFFERING_BITS, bucket), "a bigint, b bigint"),
-        "links",
-    )
-    crowd = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    centres = crowd.mapInArrow(_balls, "k bigint, fp bigint")
+def fingerprint_links(prints: DataFrame, bits: int = DIFFERING_BITS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect exactly the distinct ``fp`` within ``bits`` bits."""
+    kinds = "a bigint, b bigint, k bigint"
+
+    def verified(entries: DataFrame, most: int) -> DataFrame:
+        return entries.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _verify(it, bits, most), kinds)
+
+    found = staged(verified(prints.mapInArrow(lambda it: _entries(it, bits), "k bigint, fp bigint"), bucket), "links")
+    links, crowd = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL")
+    if crowd.isEmpty():
+        return links
+    if bits > 4:
+        again = crowd.select(F.col("a").alias("fp"), "k").mapInArrow(lambda it: _entries_in_crowds(it, bits), "k bigint, fp bigint")
+        return links.unionByName(verified(again, 1 << 62).select("a", "b")).distinct()
+    centres = crowd.select(F.col("a").alias("fp")).distinct().mapInArrow(_balls, "k bigint, fp bigint")
     hub = centres.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a != top").select("k", "a")
     stars = centres.join(hub, "k").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
-    return found.filter("b IS NOT NULL").distinct().unionByName(stars)
+    return links.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = DIFFERING_BITS, bucket: int = BUCKET) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (hex), ``component_id``.
 
     ``component_id`` is the least id that links reach, the row's own included.
@@ -190,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
-    links = fingerprint_links(distinct.select("fp"), bucket)
+    links = fingerprint_links(distinct.select("fp"), bits, bucket)
     groups = connected_components(links).withColumnsRenamed({"node": "fp", "component": "group"})
     members = distinct.join(groups, "fp")
     least = members.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -201,14 +253,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """One row of each component, the first by id and text hash; ``docs``' columns unchanged.
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["d", "shingles"])
+
+
+def _similar(edges: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges ``a, b`` whose texts' shingle sets have at least that Jaccard similarity; two texts without words have."""
+    nodes = edges.select(F.col("a").alias("d")).unionByName(edges.select(F.col("b").alias("d"))).distinct()
+    kind = texts.schema["d"].dataType.simpleString()
+    asked = texts.join(nodes, "d", "left_semi").select("d", "text")
+    sets = staged(asked.mapInArrow(lambda it: _shingle_sets(it, width), f"d {kind}, shingles array<bigint>").dropDuplicates(["d"]), "shingles")
+    side = lambda c: sets.select(F.col("d").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - F.col("both")
+    return edges.join(side("a"), "a").join(side("b"), "b").withColumn("both", both).filter(F.col("both") >= either * F.lit(similarity) - 1e-9).select("a", "b")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_SHINGLE, bits: int = COPY_BITS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, the first by id and text hash; ``docs``' columns unchanged.
+
+    Documents link if their fingerprints differ in at most ``bits`` bits and the
+    Jaccard similarity of their shingle sets is at least ``similarity``; links
+    make groups.  Two restrictions of the search keep it linear in crowds:
+    documents of one fingerprint are held against the first of them, which alone
+    is held against those of other fingerprints, and in entries of more than
+    ``SMALL`` members against one member that is near, not against all.
 
     An id on rows of different texts is as many documents; of rows that repeat
-    both id and text one stays.  A null id comes after all others, and its row
-    stays only if its component has no other id.
+    both id and text one stays.  Null text is empty text, and texts without words
+    are copies of each other.  A null id comes after all others.  An empty table
+    gives an empty result; no name of a column of ``docs`` matters.
     """
     key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
-    found = staged(near_duplicates(docs.select(key.alias("d"), text_col), "d", text_col, width), "components")
-    kept = found.select(F.col("component_id").alias("first")).distinct()
-    return one_row_each(docs, key, kept, found.select("d"))
+    texts = docs.select(key.alias("d"), text_or_empty(text_col).alias("text"))
+    rows = staged(fingerprints(texts, "d", "text", width).withColumnRenamed("__id", "d"), "fingerprints")
+    once = rows.groupBy("fp", "d").agg(F.count(F.lit(1)).alias("rows"))
+    distinct = staged(once.groupBy("fp").agg(F.min("d").alias("least")), "distinct")
+    links = fingerprint_links(distinct.select("fp"), bits)
+    same = rows.join(distinct, "fp").filter("d != least").select(F.col("least").alias("a"), F.col("d").alias("b"))
+    near = links.join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b")
+    edges = staged(same.unionByName(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct(), "edges")
+    groups = connected_components(_similar(edges, texts, width, similarity))
+    gone = groups.filter("node != component").select(F.col("node").alias("first"))
+    kept = staged(rows.select(F.col("d").alias("first")).distinct().join(gone, "first", "left_anti"), "kept")
+    return one_row_each(docs, key, kept, rows.select("d"))

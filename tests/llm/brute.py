@@ -123,8 +123,8 @@ def lattice_probability(word: str, pieces: dict[str, float], byte: list[float])
     return rest(0)
 
 
-def line_report(rows: list[tuple[int, str]], similarity: float = 0.8, least_words: int = 5) -> dict[int, tuple]:
-    """doc -> (n_lines, n_removed, n_links, removed lines), all pairs of line sets compared."""
+def line_report(rows: list[tuple[int, str]], similarity: float = 0.8, least_words: int = 1) -> dict[int, tuple]:
+    """doc -> (n_lines, n_removed, links of the lines that stay, removed lines), all pairs of line sets compared."""
     first: dict[frozenset, tuple] = {}
     places = []
     n_lines = {}
@@ -154,7 +154,8 @@ def line_report(rows: list[tuple[int, str]], similarity: float = 0.8, least_word
     out = {d: [n, [], 0] for d, n in n_lines.items()}
     for d, i, s in places:
         k = number[s]
-        out[d][2] += links[k]
         if first[s] != (d, i) or k in removed_sets:
             out[d][1].append(i)
+        else:
+            out[d][2] += links[k]
     return {d: (n, len(gone), linked, ",".join(map(str, sorted(gone)))) for d, (n, gone, linked) in out.items()}
