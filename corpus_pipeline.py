@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesieve.llm import decontam, linededup, nearcopies, packing, toxicity
+from rulesieve.llm import decontam, linededup, packing, simhash, toxicity
 from rulesieve.llm.shared import staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,8 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles are at no earlier one's with a Jaccard similarity of 0.8 or more."""
-    return nearcopies.without_near_copies(docs.select(*COLUMNS))
+    """The first document of each group that SimHash links and five-word shingles with a Jaccard similarity of 0.8 or more confirm."""
+    return simhash.without_near_copies(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
