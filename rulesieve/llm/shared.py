@@ -52,7 +52,7 @@ def _shuffles_end_with_their_query(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, dictionary: bool = True) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without
@@ -61,7 +61,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/rulesieve-{uuid.uuid4().hex}/{name}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower())  # hashes gain nothing from one
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with _shuffles_end_with_their_query(spark):

@@ -261,7 +261,8 @@ def test_op6_odd_rows(odd, empty):
     assert linededup.line_report(empty).count() == 0 and linededup.without_repeated_lines(empty).count() == 0
 
 
-def test_op6_crowds_are_settled_by_leaders(spark):
+def test_op6_crowds_are_settled_by_leaders(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CROWD", 8)
     words = [f"w{i}" for i in range(30)]
     texts = []
     for k in range(150):
