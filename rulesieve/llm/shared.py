@@ -82,6 +82,13 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let whole texts go to Python in batches of ``rows``, so that few are in memory at once; a session that has set a value keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
