@@ -1,17 +1,21 @@
-"""Language-model scores from a subword lattice.
-
-The pieces of an existing unigram vocabulary weight all segmentations of a
-word; a log-space forward recursion sums them, so a text's score is its marginal
-probability and not that of one segmentation.  Piece probabilities start from
-the vocabulary's own scores and are then fitted to the training words by
-expectation maximisation; single bytes stand in for characters without a piece,
-so every text has a probability.  Piece sequences that end in the end symbol
-have total probability one, hence texts have at most one.
-
-Word counts of the whole training corpus form a distributed table.  Words above
-a threshold, at most ``HOT`` of them, are broadcast with their counts; the rest
-of a document's words leave its task as (row, word, n) and meet their counts in
-a join.
+"""Language-model scores from a subword lattice over corpus counts.
+
+The pieces of an existing vocabulary, by its own scores, weight all segmentations
+of a word; a forward recursion sums them, so ``q(word)`` is a marginal probability
+and not that of one segmentation.  Single bytes stand in for characters without
+a piece, so every word has one.  What the training documents teach are whole
+words, a further arc over each: a token of training count ``c`` has probability
+
+    (c + V * q(token)) / (N + V)
+
+with ``N`` training tokens, ``V`` of them different (Witten and Bell's estimate).
+A text's score is the sum of the logarithms, the end included, hence the
+probability of texts is at most one in total.
+
+Words of all documents are counted once, each different word is put through the
+lattice once, and the values go back to the texts: those of the most frequent
+words, at most ``HOT``, are broadcast; the rest of a document's words leave its
+task as (row, word, n) and meet their values in a join.
 """
 
 from __future__ import annotations
@@ -30,12 +34,7 @@ from .shared import staged
 
 HOT = 300_000
 PARTIAL_WORDS = 200_000
-WORD_CACHE = 700_000
-ITERATIONS = 2
-SMOOTHING = 0.1
-#: Longest word whose value is kept; longer ones are computed each time.
-LONGEST_CACHED = 64
-#: Words of a lower probability are fitted and scored in logarithms.
+#: Words of a lower probability are scored in logarithms.
 LEAST_CHANCE = 1e-200
 MARK = "▁"
 _LOG10 = math.log(10)
@@ -54,10 +53,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 @lru_cache(maxsize=1)
 def vocabulary(path: str | None) -> tuple[list[str], list[float]]:
-    """Pieces and starting log probabilities.
+    """Pieces and their log probabilities.
 
-    Merge vocabularies score a piece by the negative of its rank; a piece of rank
-    r then starts at Zipf's 1 / (r + 2.7).  Bytes and the end start at the least.
+    A unigram vocabulary's scores are log probabilities.  A merge vocabulary
+    scores a piece by the negative of its rank r, which stands for Zipf's
+    1 / (r + 2.7).  Bytes and the end have the least of all.
     """
     import sentencepiece
 
@@ -81,7 +81,7 @@ def vocabulary(path: str | None) -> tuple[list[str], list[float]]:
 
 
 class Lattice:
-    """Forward (and backward) recursion over all segmentations of a word."""
+    """Forward recursion over all segmentations of a word."""
 
     def __init__(self, names: list[str], logs: list[float]):
         special = len(names) - 257
@@ -92,30 +92,11 @@ class Lattice:
         self.pieces = {n: (i, logs[i]) for n, i in self.index.items()}
         #: Every beginning of a piece, with the piece it is, if it is one.
         self.begins: dict[str, tuple[int, float] | None] = {n[:k]: None for n in self.pieces for k in range(1, len(n))} | self.pieces
-        self.known: dict[bytes, float] = {}
         self.letters: dict[str, float] = {}
         #: The same as plain probabilities, which serve most words.
         self.chances = {n: hit and (hit[0], math.exp(hit[1])) for n, hit in self.begins.items()}
         self.letter_chances: dict[str, tuple[tuple[int, ...], float]] = {}
 
-    def arcs(self, word: str) -> list[list[tuple[int, tuple, float]]]:
-        """For each end, (start, pieces, log probability) of what may stand there."""
-        marked = MARK + word
-        n = len(marked)
-        found: list[list[tuple[int, tuple, float]]] = [[] for _ in range(n + 1)]
-        begins = self.begins
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                hit = begins.get(marked[i:j], False)
-                if hit is False:
-                    break
-                if hit is not None:
-                    found[j].append((i, (hit[0],), hit[1]))
-            if i:
-                ids = tuple(self.byte[b] for b in marked[i].encode("utf-8", "surrogatepass"))
-                found[i + 1].append((i, ids, sum(self.logs[x] for x in ids)))
-        return found
-
     def log_probability(self, word: str) -> float:
         """Natural log of the summed probability of the word's segmentations."""
         marked = MARK + word
@@ -173,97 +154,33 @@ class Lattice:
         top = max(at)
         return top + log(sum([exp(t - top) for t in at]))
 
-    def expect(self, word: str, n: float, into: list[float]) -> None:
-        """Add ``n`` times the expected number of each piece in ``word``.
-
-        Plain probabilities serve most words; where their product comes near the
-        least number, the same sums are made of logarithms.
-        """
-        marked = MARK + word
-        size = len(marked)
-        begins, letters = self.chances, self.letter_chances
-        forward = [1.0] + [0.0] * size
-        arcs: list[tuple[int, int, int | tuple, float]] = []
-        for i in range(size):
-            here = forward[i]
-            if not here:
-                continue
-            for j in range(i + 1, size + 1):
-                hit = begins.get(marked[i:j], False)
-                if hit is False:
-                    break
-                if hit is not None:
-                    piece, p = hit
-                    arcs.append((i, j, piece, p))
-                    forward[j] += here * p
-            if i:
-                c = marked[i]
-                letter = letters.get(c)
-                if letter is None:
-                    letter = self._letter(c)
-                arcs.append((i, i + 1, *letter))
-                forward[i + 1] += here * letter[1]
-        if forward[size] < LEAST_CHANCE:
-            self._expect_logs(word, n, into)
-            return
-        scale = n / forward[size]
-        backward = [0.0] * size + [1.0]
-        for i, j, piece, p in reversed(arcs):
-            q = p * backward[j]
-            if q:
-                backward[i] += q
-                share = scale * forward[i] * q
-                if type(piece) is int:
-                    into[piece] += share
-                else:
-                    for x in piece:
-                        into[x] += share
-
-    def _expect_logs(self, word: str, n: float, into: list[float]) -> None:
-        arcs = self.arcs(word)
-        size = len(arcs)
-        alpha = [0.0] + [-math.inf] * (size - 1)
-        for j in range(1, size):
-            terms = [alpha[i] + lp for i, _, lp in arcs[j]]
-            if terms and (top := max(terms)) > -math.inf:
-                alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        beta = [-math.inf] * (size - 1) + [0.0]
-        for j in range(size - 1, 0, -1):
-            if beta[j] > -math.inf:
-                for i, _, lp in arcs[j]:
-                    x, y = beta[i], lp + beta[j]
-                    beta[i] = x + math.log1p(math.exp(y - x)) if x > y else y + (math.log1p(math.exp(x - y)) if x > -math.inf else 0.0)
-        whole = alpha[-1]
-        for j in range(1, size):
-            for i, ids, lp in arcs[j]:
-                p = alpha[i] + lp + beta[j] - whole
-                if p > -40:
-                    share = n * math.exp(p)
-                    for x in ids:
-                        into[x] += share
-
 
 @lru_cache(maxsize=2)
-def _lattice(path: str | None, logs: tuple | None) -> Lattice:
-    names, start = vocabulary(path)
-    return Lattice(names, list(logs) if logs is not None else start)
+def lattice_of(path: str | None) -> Lattice:
+    return Lattice(*vocabulary(path))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the rows, in parts of bounded size; the end is a line feed."""
-    counts: Counter = Counter()
+    """(word, n, c) of the rows, in parts of bounded size: occurrences, and those in training rows; the end is a line feed."""
+    every: Counter = Counter()
+    training: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        words = list(every)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([training[w] for w in words], pa.int64())], names=["word", "n", "c"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            counts[b"\n"] += 1
-            if len(counts) > PARTIAL_WORDS:
+        for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = Counter(words_of(text.as_py()))
+            words[b"\n"] += 1
+            every.update(words)
+            if not held:
+                training.update(words)
+            if len(every) > PARTIAL_WORDS:
                 yield out()
-                counts.clear()
-    if counts:
+                every.clear()
+                training.clear()
+    if every:
         yield out()
 
 
@@ -273,54 +190,41 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``word``, ``n``) over all training documents, the end symbol included."""
-    texts = docs.filter(~held_out(id_col)).select(F.col(text_col).cast("string").alias("__text"))
-    return texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """(``word``, ``n``, ``c``) over all documents, the end symbol included; ``c`` counts training documents only."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"))
+    return texts.mapInArrow(_count, "word binary, n bigint, c bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def _expect(batches: Iterator[pa.RecordBatch], path: str | None, logs: tuple | None) -> Iterator[pa.RecordBatch]:
-    lattice = _lattice(path, logs)
-    into = [0.0] * len(lattice.logs)
+def _weigh(batches: Iterator[pa.RecordBatch], path: str | None, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """For each different word its base value and score, in log10."""
+    lattice = lattice_of(path)
+    denominator, tokens = float(total + distinct + 1), float(total + distinct)
     for batch in batches:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if word == b"\n":
-                into[lattice.end] += n
-            else:
-                lattice.expect(word.decode("utf-8", "surrogatepass"), n, into)
-    pieces = [i for i, x in enumerate(into) if x]
-    yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([into[i] for i in pieces], pa.float64())], names=["piece", "n"])
+        words, counts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        scores = []
+        for word, c in zip(words, counts, strict=True):
+            lq = lattice.logs[lattice.end] if word == b"\n" else lattice.log_probability(word.decode("utf-8", "surrogatepass"))
+            if c:
+                scores.append(math.log10((c + distinct * math.exp(lq)) / tokens))
+            else:  # without a training document nothing but the lattice is known
+                scores.append(lq / _LOG10 + (math.log10(distinct / tokens) if distinct else 0.0))
+        base = [math.log10((c + 1) / denominator) for c in counts]
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(base, pa.float64()), pa.array(scores, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "c", "base", "score"])
 
 
-def fit_pieces(counts: DataFrame, path: str | None = None, iterations: int = ITERATIONS) -> tuple | None:
-    """Log probabilities of the vocabulary's pieces, fitted to ``counts``.
+def word_values(counts: DataFrame, total: int, distinct: int, path: str | None = None) -> DataFrame:
+    """``word, n, c, base, score`` of every different word."""
+    return counts.mapInArrow(lambda it: _weigh(it, path, total, distinct), "word binary, n bigint, c bigint, base double, score double")
 
-    Expected piece counts are summed by Spark; what reaches the driver has one row
-    per piece of the vocabulary, whatever the corpus.
-    """
-    names, _ = vocabulary(path)
-    logs = None
-    for _ in range(iterations):
-        found = counts.mapInArrow(lambda it, p=logs: _expect(it, path, p), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        sums = [SMOOTHING] * len(names)
-        for row in found.collect():
-            sums[row["piece"]] += row["n"]
-        total = math.log(sum(sums))
-        logs = tuple(math.log(x) - total for x in sums)
-    return logs
-
-
-def _score(batches: Iterator[pa.RecordBatch], hot, path: str | None, logs: tuple | None, denominator: float) -> Iterator[pa.RecordBatch]:
+
+def _score(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text, and rows (word, n) of its words that are not hot."""
-    lattice = _lattice(path, logs)
-    known = hot.value  # log10 of the base probability
+    known = hot.value
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 36
     seen = 0
-    cache = lattice.known  # lives as long as the worker
-    end = known.get(b"\n")
-    end_known, end_base = (0, -math.log10(denominator)) if end is None else (1, end)
-    end_score = lattice.logs[lattice.end]
-    names = ["row", "__id", "word", "n", "n_tokens", "n_known", "base", "score"]
+    names = ["row", "id", "word", "n", "n_tokens", "n_known", "base", "score"]
 
     def out(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
         size = len(columns["row"])
@@ -336,33 +240,27 @@ def _score(batches: Iterator[pa.RecordBatch], hot, path: str | None, logs: tuple
                 words = words_of(text.as_py())
                 row = base + seen
                 seen += 1
-                n_known, total, score = end_known, end_base, end_score
+                n_known, total, score = 0, 0.0, 0.0
+                words.append(b"\n")
                 for word, n in Counter(words).items():
-                    lp = cache.get(word)
-                    if lp is None:
-                        lp = lattice.log_probability(word.decode("utf-8", "surrogatepass"))
-                        if len(word) <= LONGEST_CACHED:
-                            if len(cache) >= WORD_CACHE:
-                                cache.clear()
-                            cache[word] = lp
-                    score += n * lp
-                    c = known.get(word)
-                    if c is None:
+                    values = known.get(word)
+                    if values is None:
                         rest["row"].append(row)
                         rest["word"].append(word)
                         rest["n"].append(n)
                     else:
-                        n_known += n
-                        total += n * c
-                for name, v in (("row", row), ("n_tokens", len(words) + 1), ("n_known", n_known), ("base", total), ("score", score / _LOG10)):
+                        n_known += n * values[0]
+                        total += n * values[1]
+                        score += n * values[2]
+                for name, v in (("row", row), ("n_tokens", len(words)), ("n_known", n_known), ("base", total), ("score", score)):
                     whole[name].append(v)
-            yield out(whole | {"__id": some.column(0).to_pylist()}, kinds)
+            yield out(whole | {"id": some.column(0).to_pylist()}, kinds)
             if rest["row"]:
                 yield out(rest, kinds)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, hot_words: int = HOT) -> DataFrame:
-    """Score all documents under the counts and pieces of the training ones.
+    """Score all documents under the words of the training ones and the vocabulary's pieces.
 
     Returns ``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score``, one row per input row.  Null text is empty text: one token, the end.
@@ -373,33 +271,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = staged(word_counts(docs, id_col, text_col), "word_counts")
     thresholds = [2**i for i in range(45)]
     facts = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count(F.lit(1)).alias("V"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"),
         *[F.count_if(F.col("n") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)],
     ).first()
     total, distinct = facts["N"], facts["V"]
     least = next(t for i, t in enumerate(thresholds) if facts[f"t{i}"] <= hot_words)
-    frequent = counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(b"\n"))).collect()  # at most hot_words + 1 rows
-    denominator = float(total + distinct + 1)
-    hot = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["n"] + 1) / denominator) for r in frequent})
+    values = staged(word_values(counts, total, distinct, vocabulary_path), "word_values")
+    frequent = values.filter(F.col("n") >= least).select("word", (F.col("c") > 0).cast("int").alias("known"), "base", "score").toArrow()  # at most hot_words rows
+    hot = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), zip(*(frequent[c].to_pylist() for c in ("known", "base", "score")), strict=True), strict=True)))
     del frequent
-    logs = fit_pieces(counts, vocabulary_path)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    kind = texts.schema["__id"].dataType.simpleString()
-    schema = f"row bigint, __id {kind}, word binary, n bigint, n_tokens bigint, n_known bigint, base double, score double"
-    made = staged(texts.mapInArrow(lambda it: _score(it, hot, vocabulary_path, logs, denominator), schema), "scored")
-    rare = counts.filter(F.col("n") < least).withColumnRenamed("n", "c")
-    met = made.filter("word IS NOT NULL").select("row", "word", "n").join(rare, "word", "left")
-    more = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))).alias("more_base"),
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    schema = f"row bigint, id {kind}, word binary, n bigint, n_tokens bigint, n_known bigint, base double, score double"
+    made = staged(texts.mapInArrow(lambda it: _score(it, hot), schema), "scored")
+    rare = values.filter(F.col("n") < least).select("word", "c", F.col("base").alias("b"), F.col("score").alias("s"))
+    more = made.filter("word IS NOT NULL").select("row", "word", "n").join(rare, "word").groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.col("b")).alias("more_base"), F.sum(F.col("n") * F.col("s")).alias("more_score"),
     )
     whole = made.filter("word IS NULL").drop("word", "n").join(more, "row", "left")
+    plus = lambda c, more, zero: F.col(c) + F.coalesce(more, F.lit(zero))
     return whole.select(
-        F.col("__id").alias(id_col),
-        held_out("__id").alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", plus("n_known", "more_known", 0).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "more_base", 0.0).alias("base_score"), plus("score", "more_score", 0.0).alias("score"),
     )
