@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 LINEAR = 4096
 BLOCK_TOKENS = 2_000_000
-#: Entries after which a worker's word cache starts anew: some 200 MB.
-WORD_CACHE = 800_000
+#: Entries after which a worker's word cache starts anew: some 120 MB.
+WORD_CACHE = 500_000
 #: Characters of text that are encoded together.
 ENCODE_CHARS = 2_000_000
 #: Longer words are encoded each time, so the cache stays small.
@@ -75,7 +75,8 @@ class WordEncoder:
     its parts' ids in order.  Words are looked up in a bounded cache; those that
     are missing are encoded together.  Lower case is taken early, to share
     entries, only where it cannot change what the tokenizer sees; texts that hold
-    one of the tokenizer's special strings go to the tokenizer whole.
+    one of the tokenizer's special strings, in whatever case, or the one letter
+    whose lower case ends in a mark, go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -98,7 +99,7 @@ class WordEncoder:
         return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if self.special is not None and self.special.search(t)}
+        whole = {i for i, t in enumerate(texts) if "\u0130" in t or self.special is not None and (self.special.search(t) or self.special.search(t.lower()))}
         parts = [[] if i in whole else self._parts(t) for i, t in enumerate(texts)]
         if len(self.cache) > WORD_CACHE:
             self.cache = {"": b""}
