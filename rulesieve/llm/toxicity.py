@@ -7,8 +7,8 @@ document labels through that formula, so the blame falls on the sentences - and
 words - that explain the label, and scoring locates them again.
 
 The model is fitted on the driver on a bounded sample (``PER_CLASS`` labelled
-documents of each class of at most ``MAX_CHARS`` characters, chosen by a hash of
-the id); every document is scored whole where it is read, without a shuffle.
+documents of each class, whole texts, chosen by a hash of the id); every document
+is scored whole where it is read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import fresh_names
 
 PER_CLASS = 2000
-MAX_CHARS = 200_000
 BUCKETS = 1 << 18
 #: Lengths of the beginnings that are features besides the word.
 STEMS = (4, 5, 6)
@@ -122,7 +124,7 @@ def _known_words(model: Model) -> type:
 
     class Known(dict):
         def __missing__(self, word: str) -> float:
-            if len(self) > 300_000:
+            if len(self) > 150_000:
                 self.clear()
             x = sum(weights.get(b, 0.0) for b in buckets(word))
             if len(word) <= 64:
@@ -154,16 +156,16 @@ def _scorer(key: tuple):
     return score
 
 
-def _score(batches: Iterator[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], key: tuple, text: str, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     score = _scorer(key)
     for batch in batches:
-        made = [score(t.as_py()) for t in batch.column(batch.schema.get_field_index("__text"))]
+        made = [score(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
         columns = [
             pa.array([x[0] for x in made], pa.float64()),
             pa.array([x[1] for x in made], pa.int32()),
             pa.array([x[2] for x in made], pa.string()),
         ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "__score", "__offending", "__worst"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -172,22 +174,24 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class.
+    """Fit on ``per_class`` labelled documents of each class, or as many as there are.
 
-    Held-out rows and null ids, labels or texts are left out; an id labelled more
-    than once counts as toxic if any row says so.
+    Held-out rows, null ids and labels, and null or empty texts are left out
+    before the sample is drawn, by a hash of the id, ties by the id.  An id
+    labelled more than once counts as toxic if any row says so; of an id's
+    several texts the least is taken, once.  Without rows, or with one class
+    alone, every document gets one score.  Other columns are not looked at.
     """
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).filter(F.col("__text") != "")
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL")
-    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).filter(~held_out("__id"))
+    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).filter(~held_out("__id")).join(texts.select("__id"), "__id", "left_semi")
     order = F.xxhash64(F.lit(5), F.col("__id").cast("string"))
     sample = None
     for y in (0, 1):
         part = known.filter(F.col("__y") == y).orderBy(order, "__id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows = (
-        texts.filter(F.length("__text").between(1, MAX_CHARS))
-        .join(F.broadcast(sample), "__id")  # at most 2 * per_class rows
+        texts.join(F.broadcast(sample), "__id")  # at most 2 * per_class rows
         .groupBy("__id", "__y")
         .agg(F.min("__text").alias("__text"))
         .orderBy("__id")
@@ -196,13 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["__text"] for r in rows], [r["__y"] for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__score``, ``__offending`` (sentences) and ``__worst`` (one of them).
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("__score", "__offending", "__worst")) -> DataFrame:
+    """``docs`` with the score, the number of offending sentences and the worst of them.
 
-    Scores look at the text alone.  A text without words scores the training
-    rate, at most 0.5.  Null text is empty text.
+    Scores look at the text alone, so repeated rows score alike.  A text without
+    words scores the training rate, at most 0.5.  Null text is empty text.  An
+    empty table gives an empty result.  Columns of ``docs`` that have one of the
+    three ``names`` are replaced; no other name matters.
     """
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    (text,) = fresh_names(docs, "text")
+    rows = docs.withColumn(text, F.col(text_col).cast("string")).drop(*names)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.StringType()), strict=True))])
     key = (tuple(sorted(model.weights.items())), model.bias, model.prior)
-    return rows.mapInArrow(lambda it: _score(it, key), f"{kinds}, __score double, __offending int, __worst string").drop("__text")
+    return rows.mapInArrow(lambda it: _score(it, key, text, names), schema).drop(text)
