@@ -6,21 +6,24 @@ then occurs in the passage unchanged.  One automaton of all pieces runs over
 every whole text; each hit names a window, and Myers' bit-parallel distance
 decides whether the item occurs there within its budget.
 
-The benchmark is the query set and goes to every task, in blocks of at most
-``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters: a longer benchmark takes
-more passes, never more memory.  Documents are neither shuffled nor collected.
+The benchmark is the query set and goes to every task by broadcast, in blocks of
+at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, of which the driver
+holds one at a time: a longer benchmark takes more passes, never more memory.
+Documents are neither shuffled nor collected.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh_names
+
 RATE = 0.08
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 5_000_000
@@ -95,8 +98,8 @@ class Matcher:
         else:
             self.automaton = None
 
-    def find(self, text: str) -> list[tuple[object, int, int]]:
-        """(item, distance, end in the normal form) of items that occur in ``text``."""
+    def find(self, text: str) -> list[tuple[object, int, int, int]]:
+        """(item, distance, end in the normal form, item's length) of items that occur in ``text``."""
         if self.automaton is None or not text:
             return []
         windows: dict[int, list[list[int]]] = {}
@@ -123,26 +126,38 @@ class Matcher:
                     end += lo
                 best = min(best, (distance, end))
             if best[0] <= k:
-                out.append((item_id, *best))
+                out.append((item_id, *best, len(pattern)))
         return out
 
 
-@lru_cache(maxsize=2)
-def _matcher(items: tuple, rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+class Block:
+    """A block of items that tasks get by broadcast; a worker keeps the automaton of the last one."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[object, str]], rate: float):
+        self.name, self.rate = uuid.uuid4().hex, rate
+        self.items = spark.sparkContext.broadcast(sorted(items, key=repr))
+
+    def matcher(self) -> Matcher:
+        if self.name not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[self.name] = Matcher(self.items.value, self.rate)
+        return _MATCHERS[self.name]
+
 
+_MATCHERS: dict[str, Matcher] = {}
 
-def _match(batches: Iterator[pa.RecordBatch], items: tuple, rate: float, item_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    find = _matcher(items, rate).find
+
+def _match(batches: Iterator[pa.RecordBatch], block: Block, item_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    matcher = block.matcher()
+    find = matcher.find
     names = ["item_id", "distance", "end_at", "item_chars"]
-    sizes = {i: len(t) for i, t in items}
     for batch in batches:
         origins: list[int] = []
         rows: list[list] = [[], [], [], []]
         for place, text in enumerate(batch.column(1)):
-            for item_id, distance, end in find(normal(text.as_py())):
+            for item_id, distance, end, size in find(normal(text.as_py())):
                 origins.append(place)
-                for column, v in zip(rows, (item_id, distance, end, sizes[item_id]), strict=True):
+                for column, v in zip(rows, (item_id, distance, end, size), strict=True):
                     column.append(v)
         kinds = [item_kind, pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
@@ -150,8 +165,9 @@ def _match(batches: Iterator[pa.RecordBatch], items: tuple, rate: float, item_ki
         )
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float) -> Iterator[Block]:
     """The benchmark's distinct items, read one bounded block at a time."""
+    spark = benchmark.sparkSession
     block: list[tuple[object, str]] = []
     chars = 0
     rows = benchmark.select(item_col, text_col).filter(F.col(text_col).isNotNull()).distinct()
@@ -162,10 +178,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tupl
         block.append((item_id, text))
         chars += len(text)
         if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield tuple(sorted(block, key=repr))
+            yield Block(spark, block, rate)
             block, chars = [], 0
     if block:
-        yield tuple(sorted(block, key=repr))
+        yield Block(spark, block, rate)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -185,25 +201,31 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     schema = f"__id {kind}, item_id {item_type.simpleString()}, distance int, end_at bigint, item_chars bigint"
     arrow_kind = to_arrow_type(item_type)
     found = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        part = rows.mapInArrow(lambda it, b=block: _match(it, b, rate, arrow_kind), schema)
+    for block in _blocks(benchmark, item_col, item_text_col, rate):
+        part = rows.mapInArrow(lambda it, b=block: _match(it, b, arrow_kind), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return found.withColumnRenamed("__id", id_col)
 
 
-def _contaminated(batches: Iterator[pa.RecordBatch], items: tuple, rate: float) -> Iterator[pa.RecordBatch]:
-    find = _matcher(items, rate).find
+def _without(batches: Iterator[pa.RecordBatch], block: Block, text_name: str) -> Iterator[pa.RecordBatch]:
+    find = block.matcher().find
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("__text"))
+        text = batch.column(batch.schema.get_field_index(text_name))
         keep = [not find(normal(t.as_py())) for t in text]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents in which no item occurs, all columns unchanged, without a join."""
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    for block in _blocks(benchmark, item_col, item_text_col):
-        rows = rows.mapInArrow(lambda it, b=block: _contaminated(it, b, rate), rows.schema)
-    return rows.drop("__text")
+    """The documents in which no item occurs, all columns unchanged, without a join.
+
+    Null and empty texts stay, and so do all rows if the benchmark is empty or has
+    only null or blank items; rows that repeat stay or go together; null and
+    repeated ids do not matter, nor does any name of a column.
+    """
+    (text,) = fresh_names(docs, "text")
+    rows = docs.withColumn(text, F.col(text_col).cast("string"))
+    for block in _blocks(benchmark, item_col, item_text_col, rate):
+        rows = rows.mapInArrow(lambda it, b=block: _without(it, b, text), rows.schema)
+    return rows.drop(text)
