@@ -36,6 +36,10 @@ _POSSIBLE = {
 _DIRECT = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
 
+#: Spans that are gathered or looked through together, so that their number counts less than squared.
+PART = 256
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """Symbols of a run, the window's width and the least bits a symbol."""
@@ -61,7 +65,7 @@ ALLOWED = (
     r"^[A-Z]?[a-z]+$",
     r"^[A-Z]+$",
     r"^[0-9]+$",
-    r"^[A-Za-z]{1,20}(?:[-_/=+][A-Za-z]{0,20})+$",
+    r"^[A-Za-z]{1,20}(?:[-_/=+][A-Za-z]{0,20})++$",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|xxxxxxxx|abcdefghij|0123456789",
 )
@@ -71,16 +75,21 @@ def _starts(text: Column, pattern: str, made) -> Column:
     """Spans of all matches of ``pattern``, as made(match, start) for each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), s["spans"])
-            .otherwise(F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), x["hit"].alias("hit")))))
-            .alias("spans"),
-        ),
-    )["spans"]
+    spans = "array<struct<start:int,hit:string>>"
+
+    def walk(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        grown = F.when(x["hit"].isNull(), s["last"]).otherwise(F.concat(s["last"], F.array(F.struct(start.alias("start"), x["hit"].alias("hit")))))
+        full = F.size(s["last"]) >= PART
+        return F.struct(
+            (start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
+            F.when(full, F.slice(grown, PART + 1, 1)).otherwise(grown).alias("last"),
+            F.when(full, F.concat(s["parts"], F.array(s["last"]))).otherwise(s["parts"]).alias("parts"),
+        )
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("last"), F.array().cast(f"array<{spans}>").alias("parts"))
+    pairs = F.arrays_zip(between.alias("gap"), found.alias("hit"))
+    walked = F.aggregate(pairs, empty, walk, lambda s: F.flatten(F.concat(s["parts"], F.array(s["last"]))))
     return F.transform(walked, lambda x: made(x["hit"], x["start"]))
 
 
@@ -111,7 +120,7 @@ def base_spans(text: Column, kind: int) -> Column:
 
 
 def _hot_stretch(run: Column, cls: CharacterClass) -> Column:
-    """struct(first, last): starts of the first and last window over the threshold.
+    """struct(first, last) of a run's bytes: starts of the first and last window over the threshold.
 
     ``counts`` holds one letter per symbol, 'A' for none in the window, 'B' for
     one and so on; ``weight`` is the sum of c*log2(c) over these counts.  A step
@@ -132,7 +141,7 @@ def _hot_stretch(run: Column, cls: CharacterClass) -> Column:
         return F.instr(F.lit(cls.symbols), symbol)
 
     def symbol(at: Column) -> Column:
-        return F.substring(run, at, 1)
+        return F.substring(run, at, 1).cast("string")  # of bytes, so in constant time
 
     def enter(s: Column, i: Column) -> Column:
         at = place(symbol(i))
@@ -176,10 +185,10 @@ def entropy_spans(text: Column, cls: CharacterClass, kind: int) -> Column:
     """Spans of runs of ``cls`` whose windows reach its entropy, allow-list applied."""
     allowed = lambda hit: F.greatest(*[hit.rlike(p) for p in ALLOWED])
     runs = F.filter(
-        _starts(text, cls.pattern, lambda hit, start: F.struct(hit.alias("hit"), start.alias("start"))),
+        _starts(text, cls.pattern, lambda hit, start: F.struct(hit.alias("hit"), start.alias("start"), hit.cast("binary").alias("bytes"))),
         lambda x: ~allowed(x["hit"]),
     )
-    judged = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), _hot_stretch(x["hit"], cls).alias("hot")))
+    judged = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), _hot_stretch(x["bytes"], cls).alias("hot")))
     hot = F.filter(judged, lambda x: x["hot"]["first"] >= 0)
     spans = F.transform(hot, lambda x: _span(kind, x["start"] + x["hot"]["first"], x["start"] + x["hot"]["last"] + cls.window))
     return F.when(text.rlike(cls.pattern), spans.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
@@ -192,7 +201,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     through ``BASE_KINDS`` and then ``CLASSES``, offsets are code points, end
     exclusive.  ``spans`` holds the base spans and those that only entropy finds.
     Null text is empty text and has no span; null or repeated ids are rows like
-    any other; other columns of the input are not looked at.
+    any other; an empty table gives an empty result; other columns of the input
+    are not looked at.  The work grows with a text's length, whatever the length
+    of its runs, and hardly faster with the number of its spans.
     """
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     text = F.col("__text")
@@ -203,9 +214,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.concat(*[F.col(f"__b{k}") for k in range(len(BASE_KINDS))])
     more = F.concat(*[F.col(f"__e{k}") for k in range(len(CLASSES))])
     rows = rows.select("__id", F.array_sort(base).alias("base"), more.alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
+    cuts = F.sequence(F.lit(0), F.floor((F.size("base") - 1) / PART).cast("int"))
+    part = F.transform(cuts, lambda k: F.slice(F.col("base"), k * PART + 1, PART))
+    reach = F.transform(part, lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans")))
+    rows = rows.withColumn("parts", F.when((F.size("base") > 0) & (F.size("more") > 0), reach))
+    covers = lambda b, m: (b["start"] <= m["start"]) & (b["end"] >= m["end"])
+    apart = F.filter("more", lambda m: ~F.exists("parts", lambda p: covers(p, m) & F.exists(p["spans"], lambda b: covers(b, m))))
     return rows.select(
-        F.col("__id").alias(id_col), "base", F.array_sort(F.concat("base", F.array_distinct(apart))).alias("spans")
+        F.col("__id").alias(id_col), "base", F.array_sort(F.concat("base", F.when(F.col("parts").isNull(), F.col("more")).otherwise(apart))).alias("spans")
     )
 
 
