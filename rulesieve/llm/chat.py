@@ -1,12 +1,14 @@
 """Chat formatting of reply trees.
 
 Messages form trees by (tree, node, parent).  Iterative self-joins with pointer
-doubling list every chosen leaf's path: after round ``k`` a path holds the
-leaf's nearest ``2**k`` ancestors and the jump table leads ``2**k`` up, so a
-chain of ``d`` replies takes about ``log2 d`` joins.  Branches are ranked by
-score, and each chosen path becomes one conversation in a template whose marks
-cannot occur inside texts: a control string in a text gets a backslash after
-its first character, which reading back removes.
+doubling first sum the scores from every message up to its root, with one row a
+message, so branches are ranked before any path is listed.  The same jumps then
+list the chosen leaves' paths: after round ``k`` a path holds the leaf's nearest
+``2**k`` ancestors.  A chain of ``d`` replies takes about ``2 log2 d`` joins.
+
+Each chosen path becomes one conversation in a template whose marks cannot occur
+inside texts: a control string in a text gets a backslash after its first
+character, which reading back removes.
 """
 
 from __future__ import annotations
@@ -36,43 +38,39 @@ def root_to_leaf_paths(nodes: DataFrame, best: int | None = 1, rounds: int = 40)
     ``nodes`` has ``tree, node, parent`` (null: a root) and ``score``; (tree, node)
     is unique.  A branch scores the sum of its nodes' scores, null as 0; ties go
     to the smaller leaf.  ``depth`` counts from the root, 0 first.  Replies to a
-    missing parent start a path of their own.
+    missing parent start a path of their own.  A null tree is one tree; an empty
+    table gives an empty result; replies in a cycle raise.
     """
     own = staged(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
     there = own.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
-    linked = own.join(there, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left").select(
-        "tree", "node", F.col("n2").alias("up"), "score"
-    )
-    parents = linked.filter("up IS NOT NULL").select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
-    leaves = linked.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
-    # (node, up): up is 2**k above node; nodes without such an ancestor drop out
-    jump = staged(linked.filter("up IS NOT NULL").select("tree", "node", "up"), "jump")
-    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
-    for k in range(rounds):
-        if jump.isEmpty():
+    linked = own.join(there, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
+    # after round k: up is 2**k above node, null beyond the root; total and steps are of the nodes from node to before up
+    walk = staged(linked.select("tree", "node", F.col("n2").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "walk")
+    jumps = []
+    for _ in range(rounds):
+        open_ones = walk.filter("up IS NOT NULL")
+        if open_ones.isEmpty():
             break
-        step = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("u2"))
-        same = F.col("tree").eqNullSafe(F.col("t2"))
-        higher = path.join(step, same & (F.col("node") == F.col("n2"))).select(
-            "tree", "leaf", F.col("u2").alias("node"), (F.col("height") + 2**k).alias("height")
-        )
-        path = staged(path.unionByName(higher), "paths")
-        jump = staged(
-            jump.join(step, same & (F.col("up") == F.col("n2"))).select("tree", "node", F.col("u2").alias("up")), "jump"
-        )
+        jumps.append(open_ones.select("tree", "node", "up"))
+        above = walk.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("total").alias("more"), F.col("steps").alias("s2"))
+        moved = open_ones.join(above, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        moved = moved.select("tree", "node", F.col("u2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("s2")).alias("steps"))
+        walk = staged(walk.filter("up IS NULL").unionByName(moved), "walk")
     else:
         raise ValueError("replies form a cycle")
-    scores = own.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("score"))
-    scored = path.join(scores, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).groupBy("tree", "leaf").agg(
-        F.sum("score").alias("total"), F.max("height").alias("top")
-    )
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "leaf")))
+    if not jumps:
+        jumps.append(walk.filter("up IS NOT NULL").select("tree", "node", "up"))
+    parents = jumps[0].select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
+    leaves = walk.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")))
     if best is not None:
         ranked = ranked.filter(F.col("rank") <= best)
-    chosen = ranked.select(F.col("tree").alias("t2"), F.col("leaf").alias("l2"), "rank", "top")
-    return path.join(chosen, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("leaf") == F.col("l2"))).select(
-        "tree", "leaf", "rank", "node", (F.col("top") - F.col("height")).cast("int").alias("depth")
-    )
+    path = staged(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("steps") - 1).alias("depth")), "paths")
+    for k, jump in enumerate(jumps):
+        step = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("u2"))
+        higher = path.join(step, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
+        path = staged(path.unionByName(higher.select("tree", "leaf", "rank", F.col("u2").alias("node"), (F.col("depth") - 2**k).alias("depth"))), "paths")
+    return path.withColumn("depth", F.col("depth").cast("int"))
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -126,7 +124,7 @@ def linear_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Each row replies to the one before it in its conversation, by turn, then role
     and text, null first; repeated rows are turns of their own, a null
-    conversation id is one conversation.
+    conversation id is one conversation.  A turn scores the length of its text.
     """
     rows = turns.select(
         F.col(conv_col).alias("tree"), F.col(turn_col).alias("__turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
@@ -134,7 +132,7 @@ def linear_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     order = Window.partitionBy("tree").orderBy("__turn", "role", "text")
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select(
-        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text"
+        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"), "role", "text"
     )
 
 
