@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, linededup, lm, media, packing, secrets, sharding, simhash, toxicity
-from .shared import table
+from .shared import bounded_batches, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
@@ -74,10 +75,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
 def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

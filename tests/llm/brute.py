@@ -61,7 +61,7 @@ def crc(data: bytes) -> int:
 
 
 def fingerprint(text: str, width: int = 4) -> int:
-    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode().lower())
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
@@ -104,23 +104,35 @@ def word_lm(rows: list[tuple[int, str]]) -> dict[int, tuple]:
 
 
 def lattice_probability(word: str, pieces: dict[str, float], byte: list[float]) -> float:
-    """Summed probability of all segmentations, each listed."""
+    """Summed probability of all segmentations, from the end backwards."""
     from math import exp
 
     marked = "▁" + word
-
-    def rest(i: int) -> float:
-        if i == len(marked):
-            return 1.0
-        total = sum(exp(pieces[marked[i:j]]) * rest(j) for j in range(i + 1, len(marked) + 1) if marked[i:j] in pieces)
+    rest = [0.0] * len(marked) + [1.0]
+    for i in reversed(range(len(marked))):
+        for j in range(i + 1, len(marked) + 1):
+            if marked[i:j] in pieces:
+                rest[i] += exp(pieces[marked[i:j]]) * rest[j]
         if i:
             p = 1.0
             for b in marked[i].encode():
                 p *= exp(byte[b])
-            total += p * rest(i + 1)
-        return total
+            rest[i] += p * rest[i + 1]
+    return rest[0]
+
+
+def word_scores(rows: list[tuple[int, str]], pieces: dict[str, float], byte: list[float], end: float) -> dict[int, float]:
+    """doc -> log10 of the text's probability: training words by count, all words by their segmentations."""
+    from math import exp, log10
 
-    return rest(0)
+    tokens = {d: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b"\n"] for d, t in rows}
+    counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    value = {}
+    for w in {w for ws in tokens.values() for w in ws}:
+        q = exp(end) if w == b"\n" else lattice_probability(w.decode(), pieces, byte)
+        value[w] = log10((counts[w] + v * q) / (n + v))
+    return {d: sum(value[w] for w in ws) for d, ws in tokens.items()}
 
 
 def line_report(rows: list[tuple[int, str]], similarity: float = 0.8, least_words: int = 1) -> dict[int, tuple]:
