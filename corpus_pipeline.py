@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesieve.llm import decontam, linededup, packing, simhash, toxicity
-from rulesieve.llm.shared import staged, table
+from rulesieve.llm.shared import bounded_batches, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the limit."""
+    """Documents whose score stays below the limit.
+
+    Null and empty texts have the training rate, at most 0.5, and stay; repeated
+    rows stay or go together; null and repeated ids do not matter here.
+    """
+    bounded_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs.select(*COLUMNS), model)
     return scored.filter(F.col("__score") < toxicity.LIMIT).select(*COLUMNS)
@@ -25,7 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one; documents left empty by that go.
 
-    ``n_chars`` counts the characters of the new text.
+    ``n_chars`` counts the characters of the new text.  Null, empty and blank
+    texts stay as they are; rows that repeat id and text are treated alike, and
+    of equal lines in rows of one id the one of the lesser text hash is first.
     """
     cleaned = linededup.without_repeated_lines(docs.select(*COLUMNS, F.length("text").alias("__before")))
     return (
@@ -36,17 +43,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that SimHash links and five-word shingles with a Jaccard similarity of 0.8 or more confirm."""
+    """The first document of each group that SimHash links and five-word shingles with a Jaccard similarity of 0.8 or more confirm.
+
+    Texts without words are copies of each other; of rows that repeat id and text
+    one stays; a null id comes after all others.
+    """
     return simhash.without_near_copies(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs; null and empty texts stay."""
+    bounded_batches(spark)
     return decontam.without_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece of a document."""
+    """Training sequences: one row per piece of a document; a null or empty text is one token."""
     return packing.pack_documents(docs.select(*COLUMNS))
 
 
