@@ -50,20 +50,19 @@ def code_rules(rules: list[dict], schema: dict[str, dict], sentinels: dict[str,
     """
     rows = []
     for r in rules:
-        rule = rule_of(r) if r["column"] and r["predicate"] else None
+        rule = rule_of(r)
         fact = schema.get(r["column"] or "")
         levels = (fact or {}).get("levels")
         if levels is not None and levels_limit is not None:
             levels = levels[:levels_limit]
-        invented = bool(rule and rule.predicate == "in_set" and levels and {_plain(v) for v in rule.params.get("allowed") or [] if not isinstance(v, (list, dict))} - {_plain(v) for v in levels})
-        other = rule.params.get("other_column") if rule and rule.predicate == "cross_column" else None
+        invented = bool(rule.predicate == "in_set" and levels and {_plain(v) for v in rule.params.get("allowed") or [] if not isinstance(v, (list, dict))} - {_plain(v) for v in levels})
         rows.append((
             r["set_id"], r["pos"], r["rule_id"], r["column"], r["predicate"], r["severity"], r["executable"], r.get("retention"),
-            canonical(rule) if rule else None, fact is not None, fact["kind"] if fact else None,
-            other is not None and other not in schema,
-            _number(rule.params.get("min")) if rule else None, _number(rule.params.get("max")) if rule else None,
+            canonical(rule), fact is not None, fact["kind"] if fact else None,
+            rule.predicate == "cross_column" and rule.params.get("other_column") not in schema,
+            _number(rule.params.get("min")), _number(rule.params.get("max")),
             _number((fact or {}).get("min")), _number((fact or {}).get("max")),
-            invented, bool(rule and r["column"] in sentinels and _misreads(rule, sentinels[r["column"]])), r["column"] in protected,
+            invented, bool(r["column"] in sentinels and _misreads(rule, sentinels[r["column"]])), r["column"] in protected,
         ))
     fields = (
         "set_id string, pos int, rule_id string, column string, predicate string, severity string, executable boolean, retention double, canonical string, known boolean, kind string, "
@@ -80,7 +79,7 @@ def assign_codes(facts: DataFrame, vacuous: bool = False) -> DataFrame:
     repeated = F.row_number().over(Window.partitionBy("set_id", "canonical").orderBy("pos")) > 1
     empirical = known & runs
     tests: dict[str, Column] = {
-        "F1": (c("column").isNotNull() & ~known) | (known & c("other_missing")),
+        "F1": ~known | c("other_missing"),
         "F2": empirical & c("invented"),
         "F3": empirical & (c("predicate") == "range") & numeric
         & F.when(c("low") > c("seen_max"), True).otherwise(F.coalesce(c("high") < c("seen_min"), F.lit(False))),
@@ -88,7 +87,7 @@ def assign_codes(facts: DataFrame, vacuous: bool = False) -> DataFrame:
         "F5": (empirical & (c("retention") >= VACUOUS)) if vacuous else F.lit(False),
         "F6": known & (((c("predicate") == "range") & ~numeric) | ((c("predicate") == "regex") & numeric)),
         "F7": ~runs,
-        "F8": runs & c("canonical").isNotNull() & repeated,
+        "F8": repeated,
         "F9": empirical & c("misread"),
         "F10": empirical & c("protected") & (c("retention") < VACUOUS) & c("severity").isin("reject", "quarantine"),
     }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rulesieve.functions.rules import NotExecutable, Rule, canonical, expectation, mask, sql_check, unique_mask_window, with_unique_counts
 from rulesieve.functions.scalars import epoch_seconds, java_pattern, short_number, sql_literal
-from rulesieve.operators.parsing import balanced_object, sufficient, validate_rule
+from rulesieve.operators.parsing import balanced_object, explode_rules, parse_rulesets
 
 NAN = math.nan
 FLOATS = [1.0, -1.0, None, NAN]
@@ -93,14 +93,26 @@ def test_balanced_object():
     [("range", {}, False), ("range", {"min": None}, False), ("range", {"min": 1, "max": "2"}, False), ("range", {"max": 2}, True), ("range", {"min": True}, True), ("in_set", {"allowed": []}, False),
      ("regex", {"pattern": "(a"}, False), ("cross_column", {"op": "<"}, False), ("type", {"expected": 3}, False), ("unique", {}, True)],
 )
-def test_sufficient_parameters(predicate, params, ok):
-    assert sufficient(predicate, params) is ok
-
-
-def test_validation_keeps_what_it_can():
-    got = validate_rule(json.dumps({"column": "c", "predicate_type": "NOT_NULL ", "severity": "fatal", "parameters": 3, "rule_id": 0}), 4)
-    assert (got["rule_id"], got["predicate"], got["severity"], got["params"], got["executable"]) == ("rule_4", "not_null", "reject", "{}", True)
-    assert validate_rule("[1]", 2)["rule_id"] == "unparsed_2" and validate_rule(None, 1)["executable"] is False
+def test_sufficient_parameters(spark, predicate, params, ok):
+    assert exploded(spark, {"column": "c", "predicate_type": predicate, "parameters": params})[0]["executable"] is ok
+
+
+def exploded(spark, *rules):
+    raw = spark.createDataFrame([("s", json.dumps({"rules": rules}))], "set_id string, raw_response string")
+    return explode_rules(parse_rulesets(raw), ["set_id"]).orderBy("pos").collect()
+
+
+def test_validation_keeps_what_it_can(spark):
+    got, listed, blank, unknown, odd = exploded(
+        spark, {"column": " c\t", "predicate_type": "NOT_NULL ", "severity": "fatal", "parameters": 3, "rule_id": 0}, [1], {"rule_id": "x", "column": 5, "severity": "warn"},
+        {"rule_id": "x", "column": " d", "predicate_type": "magic", "severity": "warn", "parameters": {"min": 1}}, {"rule_id": False, "column": "e", "predicate_type": "regex", "parameters": {"pattern": "[a-z]+"}},
+    )
+    assert (got["rule_id"], got["column"], got["predicate"], got["severity"], got["params"], got["executable"]) == ("rule_0", "c", "not_null", "reject", "{}", True)
+    assert got["note"] == "unknown dimension; unknown severity; parameters are not an object"
+    assert (listed["rule_id"], listed["column"], listed["executable"], listed["note"]) == ("unparsed_1", "", False, "not an object")
+    assert (blank["rule_id"], blank["predicate"], blank["severity"], blank["note"]) == ("unparsed_2", "not_null", "reject", "no column")
+    assert (unknown["rule_id"], unknown["column"], unknown["params"], unknown["executable"]) == ("unparsed_3", "d", "{}", False)
+    assert (odd["rule_id"], odd["executable"]) == ("rule_4", True)
 
 
 def test_masks_are_two_valued_and_retention_is_monotone(spark):
