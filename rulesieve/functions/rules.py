@@ -112,7 +112,7 @@ def mask(df: DataFrame, rule: Rule) -> Column:
             raise NotExecutable("the pattern doesn't compile")
         return F.coalesce(F.col(quoted(rule.column)).cast("string"), F.lit("nan")).rlike(pattern)
     if rule.predicate == "unique":
-        return F.col(unique_name(rule.column)) == 1
+        return _never_null(F.col(unique_name(rule.column)))
     if rule.predicate == "cross_column":
         return _cross(df, rule)
     if rule.predicate == "type" and rule.params.get("expected") in NUMERIC_EXPECTED:
@@ -121,19 +121,20 @@ def mask(df: DataFrame, rule: Rule) -> Column:
 
 
 def unique_name(column: str) -> str:
-    return f"__rows_with_{column}"
+    return f"__one_row_has_{column}"
 
 
 def with_unique_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add, for each column with a ``unique`` rule, how many rows share its value.
+    """Add, for each column with a ``unique`` rule, whether a row is the only one with its value.
 
-    Counts come from a grouped aggregate joined back, so a modal value is combined
-    before the shuffle; nulls (and NaN) are one group.
+    Rows are combined by value before the shuffle, and only values that one row
+    has come back to the table, so rows of a modal value find no partner; nulls
+    (and NaN) are one group.
     """
     for column in sorted({r.column for r in rules if r.predicate == "unique" and r.column in df.columns}):
         value = F.when(present(df, column), F.col(quoted(column)))
-        counts = df.groupBy(value.alias("__value")).agg(F.count(F.lit(1)).alias(unique_name(column)))
-        df = df.withColumn("__key", value).join(counts, F.col("__key").eqNullSafe(F.col("__value")), "left").drop("__key", "__value")
+        single = df.groupBy(value.alias("__value")).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows = 1").select("__value", F.lit(True).alias(unique_name(column)))
+        df = df.withColumn("__key", value).join(single, F.col("__key").eqNullSafe(F.col("__value")), "left").drop("__key", "__value")
     return df
 
 

@@ -68,13 +68,14 @@ def epoch_literal(bound: object) -> datetime | None:
 
 
 def sql_literal(value: object) -> str:
+    """A literal of Spark SQL, in which backslashes escape."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
     if isinstance(value, (int, float)):
         return str(value)
-    return "'" + str(value).replace("'", "''") + "'"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "''") + "'"
 
 
 def short_number(value: object) -> str:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import NotExecutable, Rule, canonical, mask, with_unique_counts
 
-#: Expressions in one aggregate; wider plans lose whole-stage codegen.
-CHUNK = 150
+#: Counts in one aggregate; the compiler of the JVM leaves wider ones' methods interpreted.
+CHUNK = 40
 
 
 @dataclass(frozen=True)
@@ -39,51 +39,76 @@ def compiled(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, Col
     return wide, masks
 
 
+def counted(df: DataFrame, tests: list[Column]) -> list[DataFrame]:
+    """For each chunk of tests one row: ``rows``, and the counts ``n0, n1, ...`` of rows that pass."""
+    chunks = [tests[i : i + CHUNK] for i in range(0, len(tests), CHUNK)]
+    return [df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(f"n{j}") for j, t in enumerate(some)]) for some in chunks]
+
+
+def unpivoted(df: DataFrame, tests: list[Column]) -> DataFrame:
+    """``i, n, rows``: for each test how many of how many rows pass; one pass over the table a chunk of tests."""
+    parts = []
+    for k, row in enumerate(counted(df, tests)):
+        cells = [F.struct(F.lit(k * CHUNK + j).alias("i"), F.col(f"n{j}").alias("n"), F.col("rows")) for j in range(min(CHUNK, len(tests) - k * CHUNK))]
+        parts.append(row.select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _share() -> Column:
+    return F.col("n") / F.nullif("rows", F.lit(0))
+
+
 def rule_retention(df: DataFrame, rules: list[Rule]) -> dict[str, float]:
     """Share of rows that pass, by canonical rule; one aggregate job a chunk."""
     wide, masks = compiled(df, rules)
-    keys, out = list(masks), {}
-    for i in range(0, len(keys), CHUNK):
-        some = keys[i : i + CHUNK]
-        row = wide.agg(*[F.avg(masks[k].cast("double")).alias(f"m{j}") for j, k in enumerate(some)]).first()
-        out |= {k: row[f"m{j}"] for j, k in enumerate(some)}
-    return out
+    if not masks:
+        return {}
+    keys = list(masks)
+    return {keys[r["i"]]: r["share"] for r in unpivoted(wide, list(masks.values())).select("i", _share().alias("share")).collect()}
+
+
+def _labelled(counts: DataFrame, labels: list[tuple], fields: str) -> DataFrame:
+    """``counts`` with the fields that a list has for each ``i``; lists are as long as rule sets."""
+    return counts.join(F.broadcast(counts.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(labels)], f"i int, {fields}")), "i").drop("i")
 
 
 def retention_frame(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``rule_id, retention`` of rules that run, as one aggregate unpivoted, lazily."""
+    """``rule_id, retention`` of rules that run, lazily; equal rules are evaluated once."""
     wide, masks = compiled(df, rules)
     kept = [r for r in rules if canonical(r) in masks]
     if not kept:
         return df.sparkSession.createDataFrame([], "rule_id string, retention double")
-    row = wide.agg(*[F.avg(masks[canonical(r)].cast("double")).alias(f"m{j}") for j, r in enumerate(kept)])
-    pairs = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"m{j}").alias("retention")) for j, r in enumerate(kept)])
-    return row.select(F.inline(pairs))
+    place = {k: i for i, k in enumerate(masks)}
+    ids = df.sparkSession.createDataFrame([(place[canonical(r)], r.rule_id) for r in kept], "i int, rule_id string")
+    return unpivoted(wide, list(masks.values())).join(F.broadcast(ids), "i").select("rule_id", _share().alias("retention"))
 
 
 def set_retention(df: DataFrame, placed: list[Placed]) -> DataFrame:
-    """``set_id, set_retention, set_retention_ex_f6, n_f6``, one aggregate for all sets.
+    """``set_id, set_retention, set_retention_ex_f6, n_f6``; one pass a chunk of sets.
 
-    A set without rules that run keeps every row.
+    A set without rules that run keeps every row.  Sets with the same rules are
+    evaluated once, and those without type mismatches too.
     """
     wide, masks = compiled(df, [p.rule for p in placed if p.executable])
-    every = lambda some: reduce(and_, [masks[canonical(p.rule)] for p in some], F.lit(True))
     sets: dict[str, list[Placed]] = {}
     for p in placed:
         sets.setdefault(p.set_id, [])
         if p.executable and canonical(p.rule) in masks:
             sets[p.set_id].append(p)
-    parts, names = [], []
-    for i, (set_id, own) in enumerate(sets.items()):
-        plain = [p for p in own if not p.mismatch]
-        parts += [F.avg(every(own).cast("double")).alias(f"a{i}"), F.avg(every(plain).cast("double")).alias(f"b{i}")]
-        names.append((set_id, len(own) - len(plain)))
-    row = wide.agg(*parts)
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("set_id"), F.col(f"a{i}").alias("set_retention"), F.col(f"b{i}").alias("set_retention_ex_f6"), F.lit(n).cast("long").alias("n_f6"))
-        for i, (s, n) in enumerate(names)
-    ])
-    return row.select(F.inline(rows))
+    tests: dict[frozenset, int] = {}
+    labels = []
+    for set_id, own in sets.items():
+        every, plain = (frozenset(canonical(p.rule) for p in own if all_of or not p.mismatch) for all_of in (True, False))
+        labels.append((set_id, tests.setdefault(every, len(tests)), tests.setdefault(plain, len(tests)), sum(p.mismatch for p in own)))
+    if not labels:
+        return df.sparkSession.createDataFrame([], "set_id string, set_retention double, set_retention_ex_f6 double, n_f6 long")
+    passes = [reduce(and_, [masks[k] for k in sorted(keys)], F.lit(True)) for keys in tests]
+    shares = unpivoted(wide, passes).select("i", _share().alias("share"))
+    named = df.sparkSession.createDataFrame(labels, "set_id string, a int, b int, n_f6 long")
+    ends = named.select("set_id", "n_f6", F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.col("a").alias("i")), F.struct(F.lit(False).alias("whole"), F.col("b").alias("i")))).alias("x")).select("set_id", "n_f6", "x.*")
+    both = shares.join(F.broadcast(ends), "i").groupBy("set_id", "n_f6")
+    pick = lambda whole: F.max(F.when(F.col("whole") == whole, F.col("share")))
+    return both.agg(pick(True).alias("set_retention"), pick(False).alias("set_retention_ex_f6")).select("set_id", "set_retention", "set_retention_ex_f6", "n_f6")
 
 
 def inert_rate(rules: DataFrame) -> DataFrame:
@@ -131,20 +156,17 @@ def collapsed(scored: DataFrame, rules: DataFrame, below: float = 0.99) -> DataF
 
 
 def block_attribution(df: DataFrame, rules: list[Rule], block: Column, pure: float = 0.95) -> DataFrame:
-    """What each rule rejects of a block of rows: one aggregate, then unpivoted."""
+    """What each rule rejects of a block of rows; one pass a chunk of rules."""
     wide, masks = compiled(df.withColumn("__block", F.coalesce(block, F.lit(False))), rules)
-    kept = {canonical(r): r for r in rules if canonical(r) in masks}
-    parts = [F.count_if("__block").alias("block")]
-    for j, k in enumerate(kept):
-        parts += [F.count_if(~masks[k]).alias(f"r{j}"), F.count_if(~masks[k] & F.col("__block")).alias(f"b{j}")]
-    row = wide.agg(*parts)
-    rows = F.array(*[
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"r{j}").alias("rejected"), F.col(f"b{j}").alias("in_block"), F.col("block").alias("block"))
-        for j, r in enumerate(kept.values())
-    ])
+    kept = [r for r in {canonical(r): r for r in rules}.values() if canonical(r) in masks]
+    tests = [t for r in kept for t in (F.col("__block"), ~masks[canonical(r)], ~masks[canonical(r)] & F.col("__block"))]
+    if not kept:
+        return df.sparkSession.createDataFrame([], "rule_id string, rejected long, block_removed double, inside_block double, pure boolean")
+    counts = _labelled(unpivoted(wide, tests), [(r.rule_id, k) for r in kept for k in ("block", "rejected", "in_block")], "rule_id string, what string")
+    pick = lambda k: F.max(F.when(F.col("what") == k, F.col("n"))).alias(k)
+    rows = counts.groupBy("rule_id").agg(pick("rejected"), pick("in_block"), pick("block")).filter("rejected > 0")
     share, inside = F.col("in_block") / F.nullif("block", F.lit(0)), F.col("in_block") / F.col("rejected")
-    out = row.select(F.inline(rows)).filter("rejected > 0")
-    return out.select("rule_id", "rejected", share.alias("block_removed"), inside.alias("inside_block"), ((share > pure) & (inside > pure)).alias("pure"))
+    return rows.select("rule_id", "rejected", share.alias("block_removed"), inside.alias("inside_block"), ((share > pure) & (inside > pure)).alias("pure"))
 
 
 def block_against_delta(gates: DataFrame, deltas: DataFrame) -> DataFrame:
