@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_number, kind_of, present, quoted
@@ -102,3 +102,47 @@ def doc_coverage(columns: DataFrame, dictionary: DataFrame) -> DataFrame:
     c = lists(dictionary.select("column").join(columns, "column", "left_anti"), "orphaned")
     share = F.coalesce(F.round(F.col("n_documented") / F.nullif(F.col("n_documented") + F.col("n_undocumented"), F.lit(0)), 4), F.lit(0.0))
     return a.join(F.broadcast(b)).join(F.broadcast(c)).withColumn("coverage", share)
+
+
+def attach_docs(columns: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Add ``doc`` from a dictionary of (column, doc); an undocumented column has the empty text."""
+    return columns.join(F.broadcast(dictionary.select("column", "doc")), "column", "left").withColumn("doc", F.coalesce("doc", F.lit("")))
+
+
+def docs_of(dictionary: DataFrame, corpus: str) -> DataFrame:
+    """``column, doc`` of one corpus of a dictionary of (corpus, column, doc); none if it is not registered."""
+    return dictionary.filter(F.col("corpus") == corpus).select("column", "doc")
+
+
+#: What a record of facts holds for each column.
+FACTS = (
+    "corpus string, row_count long, table_doc string, columns array<struct<name: string, dtype: string, doc: string, null_rate: double, distinct_count: long, "
+    "min_value: double, max_value: double, quantiles: map<string, double>, top_levels: array<struct<value: string, n: long>>>>"
+)
+
+
+def facts_record(facts: DataFrame, levels: DataFrame, corpus: str, rows: int, table_doc: str = "") -> DataFrame:
+    """One row of ``FACTS`` from census rows with ``place`` and ``doc``, and their levels."""
+    listed = levels.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_levels"))
+    names = [f"q{round(q * 100):02d}" for q in QUANTILES]
+    quantiles = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(f"p{n[1:]}"), F.col(n))]), lambda _, v: v.isNotNull())
+    one = F.struct(
+        "place", F.col("column").alias("name"), F.col("logical_type").alias("dtype"), "doc", "null_rate", "distinct_count", "min_value", "max_value", quantiles.alias("quantiles"),
+        F.coalesce("top_levels", F.array().cast("array<struct<value: string, n: long>>")).alias("top_levels"),
+    )
+    columns = F.transform(F.array_sort(F.collect_list(one), lambda a, b: (a["place"] - b["place"]).cast("int")), lambda x: x.dropFields("place"))
+    return facts.join(listed, "column", "left").agg(F.lit(corpus).alias("corpus"), F.lit(rows).cast("long").alias("row_count"), F.lit(table_doc).alias("table_doc"), columns.alias("columns"))
+
+
+def save_facts(record: DataFrame, path: str) -> str:
+    """Write a record of facts as JSON; the SHA-256 of the JSON text, which a later ``load_facts`` gives again."""
+    text = record.select(F.to_json(F.struct(*record.columns)).alias("value"))
+    text.coalesce(1).write.mode("overwrite").text(path)
+    return record.sparkSession.read.text(path).agg(F.sha2(F.max("value"), 256)).first()[0]
+
+
+def load_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The record in ``path`` with its ``content_sha256``; missing documentation is empty, missing lists are too."""
+    read = spark.read.text(path).select(F.from_json("value", FACTS).alias("x"), F.sha2("value", 256).alias("content_sha256")).select("x.*", "content_sha256")
+    whole = F.transform("columns", lambda c: c.withField("doc", F.coalesce(c["doc"], F.lit(""))).withField("top_levels", F.coalesce(c["top_levels"], F.array().cast("array<struct<value: string, n: long>>"))))
+    return read.withColumn("table_doc", F.coalesce("table_doc", F.lit(""))).withColumn("columns", whole)
