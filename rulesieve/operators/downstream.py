@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,52 @@ def gated(train: DataFrame, passes: Column) -> DataFrame:
     return train.filter(F.coalesce(passes, F.lit(False)))
 
 
+def without_leakage(df: DataFrame, named: list[str]) -> DataFrame:
+    """Without the named columns and those whose name ends in ``_band``."""
+    return df.drop(*[c for c in df.columns if c in named or c.endswith("_band")])
+
+
+def subgroup_report(results: DataFrame) -> DataFrame:
+    """One row per run and subgroup from the maps ``subgroup_auc_gap`` and ``subgroup_representation_shift``; a shift that is missing is NaN."""
+    base = [c for c in ("corpus", "condition", "model", "seed", "feasible") if c in results.columns]
+    rows = results.select(*base, F.explode("subgroup_auc_gap").alias("subgroup", "auc_gap"), F.col("subgroup_representation_shift").alias("__s"))
+    return rows.withColumn("representation_shift", F.coalesce(F.try_element_at("__s", F.col("subgroup")), F.lit(float("nan")))).drop("__s")
+
+
+def subgroup_pivot(report: DataFrame, value: str, conditions: list[str]) -> DataFrame:
+    """Mean of a measure of feasible runs by corpus and subgroup, a column for each condition."""
+    return report.filter("feasible").groupBy("corpus", "subgroup").pivot("condition", conditions).agg(F.round(F.avg(value), 4))
+
+
+def pooled(deltas: DataFrame, value: str = "delta") -> DataFrame:
+    """Mean, spread and extremes of a change by condition, and the share of runs that gain."""
+    x = F.col(value)
+    return deltas.groupBy("condition").agg(
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg((x > 0).cast("double")).alias("share_better"),
+    )
+
+
+def interval_verdict(intervals: DataFrame) -> DataFrame:
+    """What an interval (low, high) of a mean change says: improves, degrades or no effect."""
+    return intervals.withColumn("verdict", F.when(F.col("low") > 0, "improves").when(F.col("high") < 0, "degrades").otherwise("no effect"))
+
+
+def costed(results: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
+    """Results with the cost of the run that wrote their rules (none: 0) and the cost per million rows that stay."""
+    costs = log.groupBy(*key).agg(F.max(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"))
+    joined = results.join(costs, key, "left").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
+    return joined.withColumn("cost_per_million", cost_per_million(F.col("cost_usd"), F.col("train_rows")))
+
+
+def cost_pivot(results: DataFrame, by: list[str], value: str, conditions: list[str], places: int = 4) -> DataFrame:
+    return results.groupBy(*by).pivot("condition", conditions).agg(F.round(F.avg(value), places))
+
+
+def cost_totals(log: DataFrame) -> DataFrame:
+    """What all runs cost, and how long one took on average; missing figures count as 0."""
+    return log.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost"), F.avg(F.coalesce("latency_seconds", F.lit(0.0))).alias("mean_latency"))
+
+
 def feasibility(train: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     """Whether a gated training set can be fitted, and why not."""
     n, pos = F.count(F.lit(1)), F.sum(F.col(y))
@@ -70,26 +119,51 @@ def _score_counts(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame
     return df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("q"))
 
 
+#: Score ranges in which a running count is kept before the ranges are added up.
+RANGES = 1024
+
+
+def _running(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``below_p`` and ``below_q``: positives and negatives with a smaller score.
+
+    Scores are dealt to ``RANGES`` equal ranges between the least and the greatest;
+    counts run inside a range and over the ranges' sums, so no task holds all
+    distinct scores unless they crowd in one range.
+    """
+    ends = counts.groupBy(*by).agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
+    on = reduce(and_, [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by], F.lit(True))
+    range_no = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES)).otherwise(0)
+    placed = counts.alias("c").join(F.broadcast(ends).alias("e") if not by else ends.alias("e"), on).select("c.*", range_no.alias("__r"))
+    sums = placed.groupBy(*by, "__r").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
+    earlier = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "__r", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__before_{k}") for k in "pq"])
+    inside = Window.partitionBy(*by, "__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.select("*", *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"__in_{k}") for k in "pq"])
+    both = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__r"]])
+    joined = ranked.alias("a").join(F.broadcast(offsets).alias("b") if not by else offsets.alias("b"), both)
+    return joined.select("a.*", *[(F.col(f"__in_{k}") + F.col(f"__before_{k}")).alias(f"below_{k}") for k in "pq"])
+
+
 def roc_auc(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """Exact area under the ROC curve, ties counted half: ``by, auc``; null without both classes.
 
-    Rows are first combined by score; the running count then runs over distinct
-    scores.
+    Rows are first combined by score; counts then run over distinct scores.
     """
     by = by or []
-    counts = _score_counts(df, by, score, y)
-    up = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (F.coalesce(F.sum("q").over(up), F.lit(0)) + F.col("q") / 2)
+    counts = _running(_score_counts(df, by, score, y), by)
+    wins = F.col("p") * (F.col("below_q") + F.col("q") / 2)
     return counts.withColumn("w", wins).groupBy(*by).agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:
     """Step-wise average precision over distinct scores, descending."""
     by = by or []
-    counts = _score_counts(df, by, score, y)
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    precision = F.sum("p").over(down) / F.sum(F.col("p") + F.col("q")).over(down)
-    return counts.withColumn("w", F.col("p") * precision).groupBy(*by).agg((F.sum("w") / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
+    counts = _running(_score_counts(df, by, score, y), by)
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("__tp"), F.sum("q").alias("__tq"))
+    on = reduce(and_, [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by], F.lit(True))
+    joined = counts.alias("c").join(F.broadcast(totals).alias("t") if not by else totals.alias("t"), on).select("c.*", "__tp", "__tq")
+    above_p, above_q = F.col("__tp") - F.col("below_p"), F.col("__tq") - F.col("below_q")
+    return joined.withColumn("w", F.col("p") * above_p / (above_p + above_q)).groupBy(*by).agg((F.sum("w") / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 
 def brier(df: DataFrame, by: list[str] | None = None, score: str = "score", y: str = "y") -> DataFrame:

@@ -17,18 +17,28 @@ def hash_key(row_id: str, seed: int | str = SEED) -> Column:
 def split(df: DataFrame, row_id: str, fraction: float = AUTHORING, seed: int | str = SEED, name: str = "authoring") -> DataFrame:
     """Add boolean ``name``: the first round(fraction * n) rows in hash order.
 
-    Rows are ranked inside 4096 prefixes of the hash and prefixes are offset by
-    their counts, so no task sorts the whole table; the counts broadcast are 4096
-    rows at most.
+    What is broadcast is 4096 counts at most.
     """
-    keyed = df.withColumn("__key", hash_key(row_id, seed)).withColumn("__prefix", F.substring("__key", 1, 3))
-    counts = keyed.groupBy("__prefix").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = with_rank(df, hash_key(row_id, seed), row_id)
+    return ranked.withColumn(name, F.col("__rank") <= F.bround(F.lit(fraction) * F.col("__n"), 0)).drop("__rank", "__n")
+
+
+def with_rank(df: DataFrame, key: Column, row_id: str, among: Column | None = None) -> DataFrame:
+    """Add ``__rank`` by a hexadecimal key and id, from 1, and ``__n``, the number of rows; ``among``: only of rows for which it holds.
+
+    Rows are ranked inside 4096 prefixes of the key and prefixes are offset by
+    their counts, so no task sorts the whole table.  Rows that are not among
+    those ranked get null.
+    """
+    counts_in = F.lit(True) if among is None else among
+    keyed = df.withColumn("__key", key).withColumn("__prefix", F.substring("__key", 1, 3)).withColumn("__in", counts_in)
+    counts = keyed.groupBy("__prefix").agg(F.count_if("__in").alias("__c"))
     before = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select("__prefix", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(everywhere).alias("__n"))
-    inside = F.row_number().over(Window.partitionBy("__prefix").orderBy("__key", row_id))
+    inside = F.row_number().over(Window.partitionBy("__prefix", "__in").orderBy("__key", row_id))
     ranked = keyed.withColumn("__i", inside).join(F.broadcast(offsets), "__prefix")
-    return ranked.withColumn(name, F.col("__i") + F.col("__before") <= F.bround(F.lit(fraction) * F.col("__n"), 0)).drop("__key", "__prefix", "__i", "__before", "__n")
+    return ranked.withColumn("__rank", F.when(F.col("__in"), F.col("__i") + F.col("__before"))).drop("__key", "__prefix", "__i", "__before", "__in")
 
 
 def sample(df: DataFrame, row_id: str, n: int, seed: int | str = SEED) -> DataFrame:
@@ -68,12 +78,11 @@ def counterfactuals(df: DataFrame, row_id: str, block: Column, seed: int | str =
     """Add ``drop_block``, ``drop_random`` and ``drop_outside``: equally many rows each."""
     flagged = df.withColumn("drop_block", F.coalesce(block, F.lit(False)))
     size = flagged.agg(F.count_if("drop_block").alias("__size"))
-    everywhere = Window.orderBy(hash_key(row_id, seed), row_id)
-    outside = Window.partitionBy("drop_block").orderBy(hash_key(row_id, f"{seed}:outside"), row_id)
-    ranked = flagged.join(F.broadcast(size)).withColumn("__i", F.row_number().over(everywhere)).withColumn("__j", F.row_number().over(outside))
+    flagged = with_rank(flagged, hash_key(row_id, seed), row_id).withColumnRenamed("__rank", "__first").drop("__n")
+    ranked = with_rank(flagged, hash_key(row_id, f"{seed}:outside"), row_id, ~F.col("drop_block")).join(F.broadcast(size))
     return ranked.withColumns({
-        "drop_random": F.col("__i") <= F.col("__size"), "drop_outside": ~F.col("drop_block") & (F.col("__j") <= F.col("__size")),
-    }).drop("__i", "__j", "__size")
+        "drop_random": F.col("__first") <= F.col("__size"), "drop_outside": ~F.col("drop_block") & (F.coalesce("__rank", F.lit(0)) <= F.col("__size")),
+    }).drop("__first", "__rank", "__n", "__size")
 
 
 def bootstrap_ci(values: list[float], resamples: int = 10_000, seed: int = SEED) -> tuple[float, float, float]:
