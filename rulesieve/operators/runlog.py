@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("corpus", "condition", "model", "seed", "temperature", "variant")
-LOG = "corpus string, condition string, model string, seed long, temperature double, variant string, ok boolean, raw_response string, failure_reason string, input_tokens long, output_tokens long, cost_usd double"
+LOG = "corpus string, condition string, model string, seed long, temperature double, variant string, ok boolean, attempts long, raw_response string, failure_reason string, input_tokens long, output_tokens long, cost_usd double"
 # Fixed values.
 ATTEMPTS, BACKOFF = 3, 2.0
+NOT_RETRIED = ("NotFoundError", "AuthenticationError", "PermissionDeniedError", "UnprocessableEntityError", "InvalidRequestError", "PermissionError")
 
 
 def run_key(*columns: str) -> Column:
@@ -72,23 +74,33 @@ def mock_response(key: str) -> str:
     return json.dumps({"rules": rules})
 
 
-def execute(runs: DataFrame, call: Callable[[str], str] = mock_response, attempts: int = ATTEMPTS) -> DataFrame:
-    """Run ``call`` on each run's key on the executors; failures become records."""
+def attempted(call: Callable[[str], str], key: str, attempts: int, backoff: float) -> tuple[str | None, int, str | None]:
+    """Answer, attempts and the last failure; waits grow by two, and faults of configuration end at once."""
+    why = None
+    for attempt in range(1, attempts + 1):
+        try:
+            if not ((text := call(key)) or "").strip():
+                raise ValueError("empty response")
+            return text, attempt, None
+        except Exception as e:  # any failure is data
+            why = f"{type(e).__name__}: {e}"
+            if type(e).__name__ in NOT_RETRIED:
+                break
+            if attempt < attempts:
+                time.sleep(backoff * 2 ** (attempt - 1))
+    return None, attempt, why
+
+
+def execute(runs: DataFrame, call: Callable[[str], str] = mock_response, attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> DataFrame:
+    """Run ``call`` on each run's key on the executors; failures become records, never other seeds."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
-                key, text, why, tried = "|".join(str(r[k]) for k in KEY), None, None, 0
-                while text is None and tried < attempts:
-                    tried += 1
-                    try:
-                        text = call(key)
-                    except PermissionError as e:  # never worth another try
-                        why, tried = repr(e), attempts
-                    except Exception as e:
-                        why = repr(e)
-                rows.append({**{k: r[k] for k in KEY}, "ok": text is not None, "raw_response": text, "failure_reason": None if text is not None else why,
+                key = "|".join(str(r[k]) for k in KEY)
+                text, tried, why = attempted(call, key, attempts, backoff)
+                rows.append({**{k: r[k] for k in KEY}, "ok": text is not None, "attempts": tried, "raw_response": text, "failure_reason": why,
                              "input_tokens": len(key) // 4, "output_tokens": len(text or "") // 4, "cost_usd": None})
             yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in LOG.split(", ")])
 
@@ -96,7 +108,11 @@ def execute(runs: DataFrame, call: Callable[[str], str] = mock_response, attempt
 
 
 class StepCache:
-    """Tables built once under names, with what built them beside them."""
+    """Tables built once under names, with a record beside them: code version, schema, rows, digest of the content.
+
+    A table is built again if it is absent or incomplete, if another code version
+    built it, or on demand.
+    """
 
     def __init__(self, spark: SparkSession, root: str, version: str = "1"):
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
@@ -116,13 +132,29 @@ class StepCache:
         where, fs = self._fs(f"{self._path(name)}.meta/_SUCCESS")
         return fs.exists(where)
 
+    def record(self, name: str) -> dict | None:
+        """``name, version, schema, rows, digest, written_at`` of a complete step."""
+        return self.spark.read.json(f"{self._path(name)}.meta").first().asDict() if self.has(name) else None
+
+    def digest(self, name: str) -> tuple[int, str]:
+        """Rows of the stored table and a digest of them that no order changes."""
+        df = self.spark.read.parquet(self._path(name))
+        bits = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")
+        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(bits, F.lit("0"))).first())
+
+    def intact(self, name: str) -> bool:
+        """Whether the stored rows are those that were written."""
+        known = self.record(name)
+        return known is not None and (known["rows"], known["digest"]) == self.digest(name)
+
     def get(self, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
         path = self._path(name)
-        if force or not self.has(name):
+        if force or (known := self.record(name)) is None or known["version"] != self.version:
             self.drop(name)
             build().write.mode("overwrite").parquet(path)
             made = self.spark.read.parquet(path)
-            self.spark.createDataFrame([(name, self.version, made.schema.json())], "name string, version string, schema string").withColumn(
+            fields = "name string, version string, schema string, rows long, digest string"
+            self.spark.createDataFrame([(name, self.version, made.schema.json(), *self.digest(name))], fields).withColumn(
                 "written_at", F.current_timestamp()
             ).coalesce(1).write.mode("overwrite").json(f"{path}.meta")
         return self.spark.read.parquet(path)

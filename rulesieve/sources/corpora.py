@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,7 +90,44 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def export(df: DataFrame, path: str, format: str = "csv") -> None:
     """A report-sized table as one file, committed as a whole."""
-    df.coalesce(1).write.mode("overwrite").options(**({"header": "true"} if format == "csv" else {})).format(format).save(path)
+    save_artifact(df.coalesce(1), path, format)
+
+
+#: Kinds of artefacts and how they are written: format and options.
+KINDS = {
+    "csv": ("csv", {"header": "true", "nullValue": r"\N"}), "json": ("json", {"ignoreNullFields": "false"}), "jsonl": ("json", {"ignoreNullFields": "false"}),
+    "parquet": ("parquet", {}), "text": ("text", {}),
+}
+
+
+def save_artifact(df: DataFrame, path: str, kind: str) -> None:
+    """Write beside ``path``, then move into its place: readers see the old artefact or the new one, whole.
+
+    ``json`` is one record in one file, ``text`` a table with one text column.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"no writer for {kind!r}")
+    format, options = KINDS[kind]
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    (df.coalesce(1) if kind == "json" else df).write.options(**options).format(format).save(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new = hadoop(path), hadoop(beside)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} could not be moved to {path}")
+
+
+def load_artifact(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
+    """What ``save_artifact`` wrote; CSV and JSON need their schema."""
+    if kind not in KINDS:
+        raise ValueError(f"no reader for {kind!r}")
+    if kind in ("csv", "json", "jsonl") and schema is None:
+        raise ValueError(f"{kind} needs a schema")
+    _must_exist(spark, path)
+    format, options = KINDS[kind]
+    reader = spark.read.options(**options)
+    return (reader.schema(schema) if schema else reader).format(format).load(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -124,3 +162,15 @@ def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
         "notebook", "pos", F.col("c.cell_type").alias("kind"), F.array_join("c.source", "").alias("source"),
         F.col("c.execution_count").isNotNull().alias("executed"), F.array_join(F.flatten(F.transform("c.outputs", lambda o: F.coalesce(o["text"], F.array().cast("array<string>")))), "").alias("OUTPUT"),
     )
+
+
+def write_notebooks(cells: DataFrame, path: str) -> None:
+    """Cells of ``read_notebooks`` or ``clean_cells`` as notebook documents, without outputs: a folder ``notebook=NAME`` each."""
+    count = F.col("execution_count") if "execution_count" in cells.columns else F.lit(None).cast("long")
+    source = F.filter(F.split(F.regexp_replace("source", "\n", "\n\u0000"), "\u0000"), lambda line: line != "")
+    code = F.to_json(F.struct(F.lit("code").alias("cell_type"), count.alias("execution_count"), F.create_map().alias("metadata"), F.array().cast("array<string>").alias("outputs"), source.alias("source")), {"ignoreNullFields": "false"})
+    prose = F.to_json(F.struct(F.col("kind").alias("cell_type"), F.create_map().alias("metadata"), source.alias("source")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("kind") == "code", code).otherwise(prose).alias("cell"))))
+    body = F.array_join(F.transform(ordered, lambda x: x["cell"]), ",")
+    documents = cells.groupBy("notebook").agg(F.concat(F.lit('{"cells":['), body, F.lit('],"metadata":{},"nbformat":4,"nbformat_minor":5}')).alias("value"))
+    documents.write.partitionBy("notebook").text(path)
