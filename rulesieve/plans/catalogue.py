@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 from ..functions.rules import Rule, canonical, expectation, sql_check
+from ..functions.scalars import sql_literal
 from ..operators import census, downstream, notebooks, parsing, payload, reporting, retention, runlog, similarity, splitting, taxonomy
+from ..sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +75,21 @@ ORACLES["r00_missing_column"] = f"SELECT 1.0::DOUBLE AS absent, {keep('r_name IS
 one("r01_not_null", {"quality": ("documents", Rule("quality", "not_null"), "quality IS NOT NULL"), "lang": ("documents", Rule("lang", "not_null"), "lang IS NOT NULL")}, labelled, LABELLED)
 one("r02_in_set_str", {"status": ("orders", Rule("o_orderstatus", "in_set", {"allowed": ["F", "O"]}), "o_orderstatus IN ('F','O')"), "number": ("orders", Rule("o_orderstatus", "in_set", {"allowed": [1]}), "FALSE")})
 one("r02_in_set_num", {"size": ("part", Rule("p_size", "in_set", {"allowed": [1, 2.0, 3, "4"]}), "p_size IN (1,2,3)")})
+_FLAGS = "(SELECT c_acctbal >= 0 AS good, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer)"
+
+
+def flags(spark, sf):
+    return table(spark, sf, "customer").select((F.col("c_acctbal") >= 0).alias("good"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"))
+
+
+one("r02_in_set_bool", {
+    "true": ("customer", Rule("good", "in_set", {"allowed": [True]}), "good"), "one": ("customer", Rule("good", "in_set", {"allowed": [1, "x"]}), "good"),
+    "both": ("customer", Rule("good", "in_set", {"allowed": [0, True]}), "good IS NOT NULL"), "text": ("customer", Rule("good", "in_set", {"allowed": ["true"]}), "FALSE"),
+}, flags, _FLAGS)
+one("r02_in_set_null", {
+    "with_null": ("customer", Rule("segment", "in_set", {"allowed": [None, "BUILDING", "AUTOMOBILE"]}), "segment IN ('BUILDING','AUTOMOBILE')"),
+    "only_null": ("customer", Rule("segment", "in_set", {"allowed": [None]}), "FALSE"), "empty": ("customer", Rule("segment", "in_set", {"allowed": []}), "FALSE"),
+}, flags, _FLAGS)
 one("r02_in_set_mixed", {"k": ("events", Rule("k", "in_set", {"allowed": [1, 2, "abc"]}), "k = 'abc' OR TRY_CAST(k AS DOUBLE) IN (1,2)")}, events, EVENTS)
 one("r03_range_num", {"both": ("customer", Rule("c_acctbal", "range", {"min": 0, "max": 5000}), "c_acctbal BETWEEN 0 AND 5000"), "low": ("customer", Rule("c_acctbal", "range", {"min": 0}), "c_acctbal >= 0")})
 one("r03_range_text", {"k": ("events", Rule("k", "range", {"min": 10, "max": 60}), "TRY_CAST(k AS DOUBLE) BETWEEN 10 AND 60"), "text": ("events", Rule("event_type", "range", {"min": 0}), "FALSE")}, events, EVENTS)
@@ -80,6 +97,9 @@ one("r04_range_epoch", {
     "s_ms": ("lineitem", Rule("l_shipdate", "range", {"min": 788918400, "max": 852076800000}), "l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate <= TIMESTAMP '1997-01-01'"),
     "nonsense": ("lineitem", Rule("l_shipdate", "range", {"min": 5}), "FALSE"),
 })
+one("r05_regex_null", {
+    "null_is_nan": ("customer", Rule("segment", "regex", {"pattern": "nan|B.*"}), "segment IS NULL OR segment LIKE 'B%'"), "no_null": ("customer", Rule("segment", "regex", {"pattern": "[A-Z]+"}), "regexp_full_match(segment, '[A-Z]+')"),
+}, flags, _FLAGS)
 one("r05_regex", {
     "full": ("customer", Rule("c_name", "regex", {"pattern": "Customer#[0-9]+"}), "regexp_full_match(c_name, 'Customer#[0-9]+')"),
     "part": ("customer", Rule("c_name", "regex", {"pattern": "Customer"}), "regexp_full_match(c_name, 'Customer')"),
@@ -121,12 +141,34 @@ def c01(spark, sf):
     return spark.createDataFrame([(r.rule_id, sql_check(r)) for r in TARGETS], "rule_id string, check_sql string")
 
 
+_LITERALS = [None, True, 3, 2.5, "it's", "a\\b"]
+
+
+@query("c02_literals", r"SELECT * FROM (VALUES (0,'NULL'),(1,'TRUE'),(2,'3'),(3,'2.5'),(4,chr(39) || 'it' || chr(39) || chr(39) || 's' || chr(39)),(5,chr(39) || 'a\\b' || chr(39))) AS t(i, literal)")
+def c02(spark, sf):
+    return spark.createDataFrame([(i, sql_literal(v)) for i, v in enumerate(_LITERALS)], "i int, literal string")
+
+
+@query("c02_literals_read_back", r"SELECT * FROM (VALUES ('it''s', 'a\b')) AS t(quoted, escaped)")
+def c02b(spark, sf):
+    return spark.sql(f"SELECT {sql_literal(_LITERALS[4])} AS quoted, {sql_literal(_LITERALS[5])} AS escaped")
+
+
 @query("c03_check_filter", "SELECT count(*) FILTER (WHERE c_acctbal >= 0 AND c_acctbal <= 5000) AS n FROM customer")
 def c03(spark, sf):
     return table(spark, sf, "customer").filter(sql_check(Rule("c_acctbal", "range", {"min": 0, "max": 5000}))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c04_expectations")
+_EXPECTED = {
+    "a": ("expect_column_values_to_not_be_null", '"column": "c"'), "b": ("expect_column_values_to_be_in_set", '"column": "c", "value_set": ["x", "it\'\'s", 3]'),
+    "c": ("expect_column_values_to_be_between", '"column": "c", "max_value": 9.5, "min_value": 0'), "d": ("expect_column_values_to_match_regex", '"column": "c", "regex": "A.*"'),
+    "e": ("expect_column_values_to_be_unique", '"column": "c"'), "f": ("expect_column_pair_values_a_to_be_greater_than_b", '"column_A": "c", "column_B": "d"'),
+    "g": ("expect_column_values_to_not_be_null", '"column": "c"'),
+}
+
+
+@query("c04_expectations", "SELECT * FROM (VALUES " + ",".join(
+    f"""('{i}', '{{"expectation_type": "{t}", "kwargs": {{{k}}}, "meta": {{"dimension": "validity", "rule_id": "{i}"}}}}')""" for i, (t, k) in _EXPECTED.items()) + ") AS t(rule_id, expectation)")
 def c04(spark, sf):
     return spark.createDataFrame([(r.rule_id, json.dumps(expectation(r), sort_keys=True)) for r in TARGETS], "rule_id string, expectation string")
 
@@ -143,6 +185,8 @@ RESPONSES = [
     ("s07", '{"rules": [{"column": "x", "predicate_type": "range", "parameters": {}}, {"column": "x", "predicate_type": "regex", "parameters": {"pattern": "[[a"}}, {"column": "x", "predicate_type": "magic"}]}'),
     ("s08", '{"rules": [{"column"'),
     ("s09", '```\n[1, 2]\n```'),
+    ("s10", '{"rules": [{"rule_id": 7, "column": " c_acctbal ", "predicate_type": "RANGE", "parameters": {"max": 1e9}, "severity": " Warn"}, {"rule_id": "n", "column": " ", "predicate_type": "unique", "severity": "warn"}, '
+     '{"rule_id": "m", "column": " y ", "predicate_type": 3, "severity": "warn"}, {"rule_id": 0, "column": "z", "predicate_type": "type", "parameters": [1]}, {"rule_id": [], "column": "z", "predicate_type": "range", "parameters": {"min": true}}]}'),
 ]
 
 
@@ -151,14 +195,15 @@ def responses(spark):
 
 
 @query("p01_parse_ruleset", """SELECT * FROM (VALUES ('s01',NULL,2),('s02',NULL,1),('s03','no JSON object',0),('s04','no JSON object',0),('s05',NULL,2),
-('s06','rules is not a list',0),('s07',NULL,3),('s08','no JSON object',0),('s09','not an object',0)) AS t(set_id, parse_error, n_rules)""")
+('s06','rules is not a list',0),('s10',NULL,5),('s07',NULL,3),('s08','no JSON object',0),('s09','not an object',0)) AS t(set_id, parse_error, n_rules)""")
 def p01(spark, sf):
     return parsing.parse_rulesets(responses(spark)).select("set_id", "parse_error", F.size("rules_json").alias("n_rules"))
 
 
 @query("p06_validate_rules", """SELECT * FROM (VALUES ('s01',0,'a','c_acctbal','range','reject',TRUE),('s01',1,'b','nowhere','not_null','reject',TRUE),('s02',0,'rule_0','c_mktsegment','in_set','warn',TRUE),
-('s05',0,'unparsed_0',NULL,NULL,'reject',FALSE),('s05',1,'rule_1',NULL,NULL,'reject',FALSE),('s07',0,'rule_0','x','range','reject',FALSE),('s07',1,'rule_1','x','regex','reject',FALSE),
-('s07',2,'rule_2','x',NULL,'reject',FALSE)) AS t(set_id, pos, rule_id, "column", predicate, severity, executable)""")
+('s05',0,'unparsed_0','','not_null','reject',FALSE),('s05',1,'unparsed_1','','not_null','reject',FALSE),('s07',0,'rule_0','x','range','reject',FALSE),('s07',1,'rule_1','x','regex','reject',FALSE),
+('s07',2,'unparsed_2','x','not_null','reject',FALSE),('s10',0,'7','c_acctbal','range','warn',TRUE),('s10',1,'unparsed_1','','not_null','reject',FALSE),('s10',2,'unparsed_2','y','not_null','reject',FALSE),
+('s10',3,'rule_3','z','type','reject',FALSE),('s10',4,'rule_4','z','range','reject',TRUE)) AS t(set_id, pos, rule_id, "column", predicate, severity, executable)""")
 def p06(spark, sf):
     return parsing.explode_rules(parsing.parse_rulesets(responses(spark)), ["set_id"]).select("set_id", "pos", "rule_id", "column", "predicate", "severity", "executable")
 
@@ -191,7 +236,7 @@ def p12b(spark, sf):
     return parsing.headroom(runs(spark), 4096)
 
 
-@query("p13_trap_rules", "SELECT * FROM (VALUES ('s01','a')) AS t(set_id, rule_id)")
+@query("p13_trap_rules", "SELECT * FROM (VALUES ('s01','a'),('s10','7')) AS t(set_id, rule_id)")
 def p13(spark, sf):
     traps = spark.createDataFrame([("c_acctbal",)], "column string")
     return parsing.explode_rules(parsing.parse_rulesets(responses(spark)), ["set_id"]).join(F.broadcast(traps), "column").select("set_id", "rule_id")
@@ -215,9 +260,12 @@ CODED = {
 }
 
 
-def coded(spark, sf, vacuous=False):
+SENTINELS = {"c_acctbal": [-1], "c_mktsegment": ["UNKNOWN"]}
+
+
+def coded(spark, sf, vacuous=False, rules_of=CODED, sentinels=SENTINELS):
     customer = table(spark, sf, "customer")
-    raw = spark.createDataFrame([(CODED["set_id"], json.dumps({"rules": CODED["rules"]}))], "set_id string, raw_response string")
+    raw = spark.createDataFrame([(rules_of["set_id"], json.dumps({"rules": rules_of["rules"]}))], "set_id string, raw_response string")
     rows = [r.asDict() for r in parsing.explode_rules(parsing.parse_rulesets(raw), ["set_id"]).collect()]  # rule-sized
     rules = [parsing.rule_of(r) for r in rows if r["executable"]]
     kept = retention.rule_retention(customer, rules)
@@ -228,7 +276,6 @@ def coded(spark, sf, vacuous=False):
     schema = {c: {"kind": f["logical_type"], "min": f["min_value"], "max": f["max_value"], "levels": levels.get(c) if f["logical_type"] == "string" else None} for c, f in facts.items()}
     for r in rows:
         r["retention"] = kept.get(canonical(parsing.rule_of(r))) if r["executable"] else None
-    sentinels = {"c_acctbal": [-1], "c_mktsegment": ["UNKNOWN"]}
     return taxonomy.code_rules(rows, schema, sentinels, {"c_nationkey", "c_mktsegment"}, spark, vacuous)
 
 
@@ -242,6 +289,31 @@ def f_all(spark, sf):
     return coded(spark, sf).select("rule_id", F.array_join("codes", ",").alias("codes"))
 
 
+SENTINEL_RULES = {
+    "set_id": "q2",
+    "rules": [
+        {"rule_id": "n0", "column": "c_name", "predicate_type": "not_null", "parameters": {}},
+        {"rule_id": "n1", "column": "c_mktsegment", "predicate_type": "not_null", "parameters": {}},
+        {"rule_id": "x0", "column": "c_mktsegment", "predicate_type": "regex", "parameters": {"pattern": "[A-Z]+"}},
+        {"rule_id": "x1", "column": "c_name", "predicate_type": "regex", "parameters": {"pattern": "Customer#.*"}},
+        {"rule_id": "o0", "column": "c_acctbal", "predicate_type": "cross_column", "parameters": {"op": "<", "other_column": "ghost"}},
+        {"column": " ", "predicate_type": "unique"}, "no object", {"rule_id": "w", "column": "c_name", "predicate_type": "not_null", "parameters": {}},
+    ],
+}
+
+
+@query("f_sentinels_vacuous", """SELECT * FROM (VALUES ('n0','F5,F9'),('n1','F5'),('x0','F5'),('x1','F5,F9'),('o0','F1,F5'),('unparsed_5','F1,F7'),('unparsed_6','F1,F7,F8'),('w','F5,F8,F9')) AS t(rule_id, codes)""")
+def f_sentinels(spark, sf):
+    """Null among a column's sentinels, texts that a pattern misses, and rules that reject nothing."""
+    found = coded(spark, sf, True, SENTINEL_RULES, {"c_name": [None, "N/A"], "c_mktsegment": ["UNKNOWN"]})
+    return found.select("rule_id", F.array_join("codes", ",").alias("codes"))
+
+
+@query("f_executable", "SELECT * FROM (VALUES ('n0'),('n1'),('x0'),('x1'),('o0'),('w')) AS t(rule_id)")
+def f_executable(spark, sf):
+    return taxonomy.executable(coded(spark, sf, False, SENTINEL_RULES)).select("rule_id")
+
+
 @query("f_code_histogram", f"""WITH c AS ({ORACLES['f_codes_all']}), k AS (SELECT * FROM (VALUES ('F1'),('F2'),('F3'),('F4'),('F5'),('F6'),('F7'),('F8'),('F9'),('F10')) AS t(code))
 SELECT k.code, count(c.rule_id) AS n, 100.0::DOUBLE * count(c.rule_id) / 9 AS percent FROM k LEFT JOIN c ON list_contains(string_split(c.codes, ','), k.code) GROUP BY k.code""")
 def f_hist(spark, sf):
@@ -476,6 +548,11 @@ def x_check(spark, sf):
     return splitting.check_split(table(spark, sf, "orders"), parts.filter("authoring"), parts.filter("NOT authoring"), "o_orderkey")
 
 
+@query("x_split_downstream", "SELECT c_custkey, row_number() OVER (ORDER BY md5('downstream:' || c_custkey::VARCHAR), c_custkey) <= round_even(0.3 * count(*) OVER (), 0) AS test FROM customer")
+def x_downstream(spark, sf):
+    return splitting.split(table(spark, sf, "customer"), "c_custkey", 0.30, "downstream", "test").select("c_custkey", "test")
+
+
 @query("x_subsample", "SELECT o_orderkey FROM orders ORDER BY md5('sub:' || o_orderkey::VARCHAR), o_orderkey LIMIT 500")
 def x_sub(spark, sf):
     return splitting.sample(table(spark, sf, "orders"), "o_orderkey", 500, "sub").select("o_orderkey")
@@ -492,10 +569,12 @@ def x_counter(spark, sf):
     return splitting.counterfactuals(table(spark, sf, "customer"), "c_custkey", F.col("c_acctbal") < 0).select("c_custkey", "drop_block", "drop_random", "drop_outside")
 
 
-@query("x_bootstrap")
+@query("x_bootstrap", f"SELECT round(avg(set_retention), 9) AS mean, TRUE AS in_order, TRUE AS inside FROM {SCORED}")
 def x_bootstrap(spark, sf):
     values = [r[0] for r in scored(spark).select("set_retention").collect()]
-    return spark.createDataFrame([splitting.bootstrap_ci(values)], "mean double, low double, high double")
+    found = spark.createDataFrame([splitting.bootstrap_ci(values)], "mean double, low double, high double")
+    ordered = (F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))
+    return found.select(F.round("mean", 9).alias("mean"), ordered.alias("in_order"), ((F.col("low") >= min(values)) & (F.col("high") <= max(values))).alias("inside"))
 
 
 @query("b_schema_payload", "SELECT 'Table: nation' || chr(10) || chr(10) || 'Columns:' || chr(10) || '  n_nationkey: int' || chr(10) || '  n_name: string' || chr(10) || '  n_regionkey: int' AS payload")
@@ -505,9 +584,10 @@ def b_schema(spark, sf):
     return payload.schema_lines(census.census(df).join(F.broadcast(places), "column"), "nation")
 
 
-@query("b_sample_lines")
+@query("b_sample_lines", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","nothing":null}' AS line
+FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 200) ORDER BY md5('20260807:' || c_custkey::VARCHAR), c_custkey LIMIT 20""")
 def b_samples(spark, sf):
-    return payload.sample_lines(x_payload(spark, sf))
+    return payload.sample_lines(x_payload(spark, sf).withColumn("nothing", F.lit(None).cast("string")))
 
 
 @query("b_leakage_flags", "SELECT * FROM (VALUES (1, FALSE), (2, TRUE), (3, TRUE)) AS t(id, leaks)")
@@ -562,10 +642,11 @@ def l_key(spark, sf):
     return runs(spark).select(runlog.run_key("corpus", "condition", "model", "seed", "variant").alias("run_key"))
 
 
-@query("l_execute_mock")
+@query("l_execute_mock", f"SELECT *, TRUE AS ok, 1 AS attempts, length(concat_ws('|', corpus, condition, model, seed::VARCHAR, '0.0', 'w')) // 4 AS input_tokens, 1 AS rule_sets FROM ({ORACLES['l_resume_plan']})")
 def l_execute(spark, sf):
     planned = l_resume(spark, sf).withColumns({"temperature": F.lit(0.0), "variant": F.lit("w"), "seed": F.col("seed").cast("long")})
-    return runlog.execute(planned)
+    done = runlog.execute(planned).withColumn("rules", F.size(F.from_json("raw_response", "rules array<struct<rule_id string>>")["rules"]))
+    return done.select("corpus", "condition", "model", "seed", "ok", "attempts", "input_tokens", F.col("rules").between(1, 3).cast("int").alias("rule_sets"))
 
 
 @query("l_cost_per_million", "SELECT * FROM (VALUES (1, 2.0::DOUBLE), (2, 'inf'::DOUBLE)) AS t(id, cost)")
@@ -674,6 +755,163 @@ def m_trees(spark, sf):
     return downstream.roc_auc(scored_rows)
 
 
+# maps cannot be compared, so the reports' inputs are literals on both sides
+REPORTS = [("bank", "A2", "m1", 1, True, {"age": 0.25, "job": 0.5}, {"age": 0.125}), ("bank", "A4", "m1", 1, False, {"age": 0.75}, {"age": 0.5}), ("bank", "A2", "m1", 2, True, {"age": 0.5}, {"age": 0.25})]
+_REPORT = """(VALUES ('bank','A2','m1',1,TRUE,'age',0.25::DOUBLE,0.125::DOUBLE),('bank','A2','m1',1,TRUE,'job',0.5,'nan'),('bank','A4','m1',1,FALSE,'age',0.75,0.5),('bank','A2','m1',2,TRUE,'age',0.5,0.25))
+AS t(corpus, condition, model, seed, feasible, subgroup, auc_gap, representation_shift)"""
+
+
+def report(spark):
+    return downstream.subgroup_report(spark.createDataFrame(REPORTS, "corpus string, condition string, model string, seed int, feasible boolean, subgroup_auc_gap map<string, double>, subgroup_representation_shift map<string, double>"))
+
+
+@query("m_subgroup_report", f"SELECT * REPLACE (CASE WHEN isnan(representation_shift) THEN NULL ELSE representation_shift END AS representation_shift) FROM {_REPORT}")
+def m_report(spark, sf):
+    return report(spark).withColumn("representation_shift", F.when(~F.isnan("representation_shift"), F.col("representation_shift")))
+
+
+@query("m_subgroup_pivot", f"SELECT corpus, subgroup, round(avg(auc_gap) FILTER (WHERE condition = 'A2'), 4) AS A2, round(avg(auc_gap) FILTER (WHERE condition = 'A4'), 4) AS A4 FROM {_REPORT} WHERE feasible GROUP BY ALL")
+def m_pivot(spark, sf):
+    return downstream.subgroup_pivot(report(spark), "auc_gap", ["A2", "A4"])
+
+
+@query("m_worst_shifts", f"SELECT corpus, subgroup AS stratum, representation_shift AS shift FROM {_REPORT} WHERE NOT isnan(representation_shift) ORDER BY shift DESC LIMIT 2")
+def m_worst(spark, sf):
+    shifts = report(spark).select("corpus", F.col("subgroup").alias("stratum"), F.col("representation_shift").alias("shift")).filter(~F.isnan("shift"))
+    return reporting.worst_shifts(shifts, 2)
+
+
+@query("m_without_leakage", "SELECT p_partkey, p_size FROM part")
+def m_leakage(spark, sf):
+    d = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", downstream.age_band(F.col("p_size")).alias("size_band"))
+    return downstream.without_leakage(d, ["p_brand", "absent"])
+
+
+@query("m_gated", "SELECT c_custkey FROM customer WHERE CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END >= 0")
+def m_gated(spark, sf):
+    return downstream.gated(table(spark, sf, "customer"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")) >= 0).select("c_custkey")
+
+
+_DELTAS = f"(SELECT condition, set_retention_ex_f6 - 0.5 AS delta FROM {SCORED})"
+
+
+@query("m_pooled", f"SELECT condition, avg(delta) AS mean, round(stddev_samp(delta), 9) AS sd, min(delta) AS least, max(delta) AS most, avg((delta > 0)::INT) AS share_better FROM {_DELTAS} GROUP BY condition")
+def m_pooled(spark, sf):
+    return downstream.pooled(scored(spark).withColumn("delta", F.col("set_retention_ex_f6") - 0.5)).withColumn("sd", F.round("sd", 9))
+
+
+@query("m_interval_verdict", "SELECT * FROM (VALUES ('A2',-0.5::DOUBLE,-0.25::DOUBLE,'degrades'),('A3',0.25,0.5,'improves'),('A4',-0.5,0.5,'no effect'),('A5',NULL,NULL,'no effect')) AS t(condition, low, high, verdict)")
+def m_verdict(spark, sf):
+    return downstream.interval_verdict(spark.createDataFrame([("A2", -0.5, -0.25), ("A3", 0.25, 0.5), ("A4", -0.5, 0.5), ("A5", None, None)], "condition string, low double, high double"))
+
+
+_TRAINED = "(VALUES ('bank','A2','m1',1,500000),('bank','A4','m2',1,0),('retail','A2','m2',1,250000),('retail','A4','ghost',9,10)) AS r(corpus, condition, model, seed, train_rows)"
+_COSTED = f"""(SELECT r.*, coalesce(c.cost, 0) AS cost_usd, CASE WHEN train_rows <= 0 THEN 'inf'::DOUBLE ELSE coalesce(c.cost, 0) / (train_rows / 1e6) END AS cost_per_million
+FROM {_TRAINED} LEFT JOIN (SELECT corpus, condition, model, seed, coalesce(cost_usd::DOUBLE, 0) AS cost FROM {RUNS}) c USING (corpus, condition, model, seed))"""
+
+
+def trained(spark):
+    rows = [("bank", "A2", "m1", 1, 500000), ("bank", "A4", "m2", 1, 0), ("retail", "A2", "m2", 1, 250000), ("retail", "A4", "ghost", 9, 10)]
+    return downstream.costed(spark.createDataFrame(rows, "corpus string, condition string, model string, seed int, train_rows long"), runs(spark), ["corpus", "condition", "model", "seed"])
+
+
+@query("m_costed", f"SELECT * FROM {_COSTED}")
+def m_costed(spark, sf):
+    return trained(spark)
+
+
+@query("m_cost_pivot", f"SELECT model, round(avg(cost_usd) FILTER (WHERE condition = 'A2'), 4) AS A2, round(avg(cost_usd) FILTER (WHERE condition = 'A4'), 4) AS A4 FROM {_COSTED} GROUP BY model")
+def m_cost_pivot(spark, sf):
+    return downstream.cost_pivot(trained(spark), ["model"], "cost_usd", ["A2", "A4"])
+
+
+@query("m_cost_totals", f"SELECT sum(cost_usd::DOUBLE) AS total_cost, avg(coalesce(output_tokens / 1000.0, 0))::DOUBLE AS mean_latency FROM {RUNS}")
+def m_cost_totals(spark, sf):
+    return downstream.cost_totals(runs(spark).withColumn("latency_seconds", F.col("output_tokens") / 1000))
+
+
+# ---------------------------------------------------------------- documentation, facts and payloads
+
+DICTIONARY = [("world", "r_name", "Name of the region"), ("world", "ghost", "x"), ("other", "r_regionkey", "elsewhere")]
+
+
+def dictionary(spark):
+    return spark.createDataFrame(DICTIONARY, "corpus string, column string, doc string")
+
+
+@query("n_docs_of", "SELECT * FROM (VALUES ('r_name','Name of the region'),('ghost','x')) AS t(\"column\", doc)")
+def n_docs(spark, sf):
+    return census.docs_of(dictionary(spark), "world")
+
+
+@query("n_attach_docs", "SELECT * FROM (VALUES ('r_regionkey',''),('r_name','Name of the region')) AS t(\"column\", doc)")
+def n_attach(spark, sf):
+    return census.attach_docs(spark.createDataFrame([("r_regionkey",), ("r_name",)], "column string"), census.docs_of(dictionary(spark), "world"))
+
+
+def _facts(spark, sf):
+    df = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    places = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column string, place int")
+    facts = census.attach_docs(census.census(df).join(F.broadcast(places), "column"), spark.createDataFrame([("c_acctbal", "Balance")], "column string, doc string"))
+    return df, facts, census.top_levels(df)
+
+
+@query("n_facts_record", """SELECT 'customer' AS corpus, count(*) AS row_count, 'c_nationkey,c_acctbal,c_mktsegment' AS names, 'int,float,string' AS dtypes, ',Balance,' AS docs, min(c_acctbal) AS lo, round(quantile_cont(c_acctbal, 0.5), 6) AS median,
+(SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS modal, (SELECT count(*) FROM customer GROUP BY c_mktsegment ORDER BY 1 DESC LIMIT 1) AS n_modal FROM customer""")
+def n_record(spark, sf):
+    df, facts, levels = _facts(spark, sf)
+    record = census.facts_record(facts, levels, "customer", df.count())
+    c = F.col("columns")
+    return record.select(
+        "corpus", "row_count", *[F.array_join(c[k], ",").alias(n) for k, n in (("name", "names"), ("dtype", "dtypes"), ("doc", "docs"))], c[1]["min_value"].alias("lo"), F.round(c[1]["quantiles"]["p50"], 6).alias("median"),
+        c[2]["top_levels"][0]["value"].alias("modal"), c[2]["top_levels"][0]["n"].alias("n_modal"))
+
+
+@query("b_census_payload", """WITH v AS (SELECT c_mktsegment AS x, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS i FROM customer GROUP BY 1),
+w AS (SELECT c_nationkey AS x, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey::VARCHAR) AS i FROM customer GROUP BY 1),
+f AS (SELECT count(*) AS r, count(DISTINCT c_nationkey) AS d, min(c_nationkey) AS lo, max(c_nationkey) AS hi, quantile_cont(c_nationkey::DOUBLE, [0.01, 0.25, 0.5, 0.75, 0.99]) AS q FROM customer)
+SELECT 'Profile computed on an authoring sample of ' || format('{:,}', r) || ' rows.' || chr(10) || 'All figures below are observed counts and frequencies.' || chr(10) || chr(10)
+|| '  c_nationkey (int): null 0.00%; ' || d || ' distinct; range ' || lo || ' to ' || hi || '; quantiles p01=' || printf('%g', q[1]) || ', p25=' || printf('%g', q[2]) || ', p50=' || printf('%g', q[3]) || ', p75=' || printf('%g', q[4]) || ', p99=' || printf('%g', q[5]) || chr(10)
+|| '      most frequent values:' || chr(10) || (SELECT string_agg('        ' || x || ': ' || format('{:,}', n) || ' (' || printf('%.2f', 100.0 * n / r) || '%)', chr(10) ORDER BY i) FROM w WHERE i <= 15)
+|| CASE WHEN d > 15 THEN chr(10) || '        ... ' || (least(d, 20) - 15) || ' further values not shown' ELSE '' END || chr(10)
+|| '  c_mktsegment (string): null 0.00%; ' || (SELECT count(*) FROM v) || ' distinct' || chr(10) || '      most frequent values:' || chr(10)
+|| (SELECT string_agg('        ''' || x || ''': ' || format('{:,}', n) || ' (' || printf('%.2f', 100.0 * n / r) || '%)', chr(10) ORDER BY i) FROM v WHERE i <= 15) AS payload FROM f""")
+def b_census(spark, sf):
+    df, facts, levels = _facts(spark, sf)
+    return payload.census_lines(facts.filter("column <> 'c_acctbal'"), levels.filter("column <> 'c_acctbal'"), df.count())
+
+
+@query("b_short_numbers", "SELECT * FROM (VALUES (0,'0'),(1,'1'),(2,'-1.5'),(3,'123457'),(4,'1.23457e+06'),(5,'0.0001'),(6,'1.2e-05'),(7,'1e+06'),(8,'null'),(9,'0.333333')) AS t(i, x)")
+def b_numbers(spark, sf):
+    values = [0.0, 1.0, -1.5, 123456.7, 1234567.0, 0.0001, 0.000012, 999999.9, None, 1 / 3]
+    return spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", payload.short_number_text(F.col("v")).alias("x"))
+
+
+@query("b_dictionary", "SELECT 'Table description:' || chr(10) || 'People.' || chr(10) || chr(10) || 'Column descriptions (from published documentation):' || chr(10) || '  c_acctbal: Balance' AS payload")
+def b_dictionary(spark, sf):
+    return payload.dictionary_lines(_facts(spark, sf)[1], "People.")
+
+
+_LADDER = [("bank", "A2", "Columns: x"), ("bank", "A3", "Columns: x and docs"), ("bank", "A4", "Columns: x Profile computed on 1"), ("bank", "A5", "Columns: x Profile computed on 1 and rows"), ("taxi", "A2", "Columns: x"), ("taxi", "A3", "Columns: x"), ("taxi", "A4", "Columns: x"), ("taxi", "A5", "x")]
+
+
+@query("b_ladder_checks", "SELECT * FROM (VALUES ('bank', TRUE, TRUE), ('taxi', FALSE, FALSE)) AS t(corpus, nested, all_differ)")
+def b_ladder(spark, sf):
+    return payload.ladder_checks(spark.createDataFrame(_LADDER, "corpus string, condition string, user string"))
+
+
+@query("b_tampered", f"SELECT corpus, condition FROM {PROMPTS} WHERE condition = 'A4'")
+def b_tampered(spark, sf):
+    stored = spark.sql("SELECT * FROM VALUES ('bank','A2','sys','hello world'),('bank','A4','sys','hello world and more') AS t(corpus, condition, system, user)").withColumn("hash", F.sha2(F.concat_ws("\n", "system", "user"), 256))
+    changed = stored.withColumn("user", F.when(F.col("condition") == "A4", "hello").otherwise(F.col("user")))
+    return payload.tampered(changed).select("corpus", "condition")
+
+
+@query("s_head_rows", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
+def s_head(spark, sf):
+    return corpora.head_rows(table(spark, sf, "orders"), "o_orderkey", 100).select("o_orderkey")
+
+
 # ---------------------------------------------------------------- reports, notebooks, verbs
 
 @query("q_condition_means", f"WITH c AS (SELECT condition, avg(F2) AS mean_F2, avg(F9) AS mean_F9 FROM {SCORED} GROUP BY condition) SELECT condition, mean_F2, mean_F9, mean_F2 = min(mean_F2) OVER () AS is_best_F2, mean_F9 = min(mean_F9) OVER () AS is_best_F9 FROM c")

@@ -69,13 +69,20 @@ def test_bootstrap():
     assert all(x != x for x in splitting.bootstrap_ci([]))
 
 
-def test_payload_ladder():
-    columns = [{"column": "a", "logical_type": "int", "null_rate": 0.0, "distinct_count": 2, "min_value": 1.0, "max_value": 2.0, "top_levels": [(str(i), 9 - i % 9) for i in range(18)], "doc": "The a."}]
-    text = payload.census_block(columns, 1000)
-    assert "3 further values not shown" in text and "range 1 to 2" in text
-    parts = dict(schema="Table: t", task="Write rules.", dictionary=payload.dictionary_block(columns), census=text, samples=payload.samples_block(['{"a": 1}']))
+def test_payload_ladder(spark):
+    facts = spark.createDataFrame([(0, "a", "int", 0.0, 18, 1.0, 2.0, "The a."), (1, "it's", "string", 0.25, 3, None, None, " ")], "place int, column string, logical_type string, null_rate double, distinct_count long, min_value double, max_value double, doc string")
+    facts = facts.withColumns({q: F.lit(None).cast("double") for q in ("q01", "q25", "q50", "q75", "q99")})
+    levels = spark.createDataFrame([("a", str(i), 1900 - i, i + 1) for i in range(18)] + [("it's", "it's", 2, 1)], "column string, value string, n long, place long")
+    text = payload.census_lines(facts, levels, 1000).first()[0]
+    assert text.split("\n")[3] == "  a (int): null 0.00%; 18 distinct; range 1 to 2" and "        0: 1,900 (190.00%)\n" in text and "        ... 3 further values not shown\n  it's (string): null 25.00%; 3 distinct\n" in text
+    assert text.endswith('        "it\'s": 2 (0.20%)')
+    docs = payload.dictionary_lines(facts).first()[0]
+    assert docs == "Column descriptions (from published documentation):\n  a: The a." and payload.dictionary_lines(facts.limit(0)).first()[0] == ""
+    parts = dict(schema="Table: t", task="Write rules.", dictionary=docs, census=text, samples=payload.samples_block(['{"a": 1}']))
     a2, a4, a5 = (payload.assemble(c, **parts) for c in ("A2", "A4", "A5"))
     assert len(a2) < len(a4) < len(a5) and len({payload.bundle_hash("s", x) for x in (a2, a4, a5)}) == 3
+    with pytest.raises(Exception, match="interpretive"):
+        payload.census_lines(facts.withColumn("column", F.lit("sentinel")), levels, 1000).collect()
     with pytest.raises(payload.LeakageError):
         payload.guard("this is a Sentinel")
     for bad in (dict(condition="A9"), dict(condition="A3"), dict(condition="A5")):
@@ -83,6 +90,42 @@ def test_payload_ladder():
             payload.assemble(schema="s", task="t", **bad)
 
 
+def test_facts_survive_a_file(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    facts = census.attach_docs(census.census(df).join(spark.createDataFrame([("a", 0), ("b", 1)], "column string, place int"), "column"), spark.createDataFrame([("a", "d")], "column string, doc string"))
+    record = census.facts_record(facts, census.top_levels(df), "c", 2, "T")
+    digest = census.save_facts(record, str(tmp_path / "f"))
+    loaded = census.load_facts(spark, str(tmp_path / "f"))
+    assert loaded.first()["content_sha256"] == digest and loaded.drop("content_sha256").first() == record.first()
+    (tmp_path / "g").write_text('{"corpus":"c","row_count":1,"columns":[{"name":"a","dtype":"int"}]}')
+    old = census.load_facts(spark, str(tmp_path / "g")).first()
+    assert old["table_doc"] == "" and old["columns"][0]["doc"] == "" and old["columns"][0]["top_levels"] == []
+
+
+def test_artifacts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "i int, t string")
+    for kind in ("csv", "json", "jsonl", "parquet"):
+        for _ in range(2):  # the second replaces the first
+            corpora.save_artifact(df, str(tmp_path / kind), kind)
+        got = corpora.load_artifact(spark, str(tmp_path / kind), kind, None if kind == "parquet" else "i int, t string")
+        assert [tuple(r) for r in got.orderBy("i").collect()] == [(1, "a"), (2, None), (3, "")], kind
+    corpora.save_artifact(df.select("t").na.drop(), str(tmp_path / "text"), "text")
+    assert corpora.load_artifact(spark, str(tmp_path / "text"), "text").count() == 2
+    assert not list(tmp_path.glob("*.tmp"))
+    for call in (lambda: corpora.save_artifact(df, str(tmp_path / "x"), "pickle"), lambda: corpora.load_artifact(spark, str(tmp_path / "csv"), "csv")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_notebooks_are_written_back(spark, tmp_path):
+    cells = spark.createDataFrame([("n", 1, "code", "a = 1\nb = 2", 7), ("n", 0, "markdown", "# T", None), ("m", 0, "code", "x", None)], "notebook string, pos int, kind string, source string, execution_count long")
+    corpora.write_notebooks(cells, str(tmp_path / "out"))
+    book = json.loads(next((tmp_path / "out" / "notebook=n").glob("part-*")).read_text())
+    assert [c["cell_type"] for c in book["cells"]] == ["markdown", "code"] and book["cells"][1]["source"] == ["a = 1\n", "b = 2"] and book["cells"][1]["execution_count"] == 7 and book["nbformat"] == 4
+    again = {(r["kind"], r["source"], r["executed"]) for r in corpora.read_notebooks(spark, str(tmp_path / "out" / "*" / "part-*")).collect()}
+    assert again == {("code", "a = 1\nb = 2", True), ("markdown", "# T", False), ("code", "x", False)}
+
+
 def test_census_of_mixed_columns(spark):
     df = spark.createDataFrame([("1", 1.5, None), ("2", float("nan"), None), ("x", None, None)], "t string, f double, e string")
     got = {r["column"]: r for r in census.census(df).collect()}
@@ -123,7 +166,12 @@ def test_step_cache(spark, tmp_path):
     build = lambda: built.append(1) or spark.range(3)
     assert cache.get("a", build).count() == cache.get("a", build).count() == 3 and len(built) == 1
     cache.get("a", build, force=True)
-    assert len(built) == 2 and cache.status(["a", "b"]) == {"a": True, "b": False}
+    assert len(built) == 2 and cache.record("a")["rows"] == 3 and cache.intact("a")
+    newer = runlog.StepCache(spark, str(tmp_path / "cache"), "2")
+    newer.get("a", build)
+    assert len(built) == 3 and newer.record("a")["version"] == "2"
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "cache" / "a"))
+    assert not newer.intact("a") and cache.status(["a", "b"]) == {"a": True, "b": False}
     with pytest.raises(ValueError):
         cache.clear(["a"])
     cache.clear(["a"], confirm=True)
@@ -141,7 +189,8 @@ def test_sweep_and_purge(spark, tmp_path):
     def broken(key):
         raise RuntimeError("no answer")
 
-    failed = runlog.execute(runs, broken)
+    failed = runlog.execute(runs, broken, backoff=0.0)
+    assert {r["attempts"] for r in failed.collect()} == {3}
     assert failed.filter("NOT ok AND failure_reason LIKE '%no answer%'").count() == 4
     with pytest.raises(ValueError):
         runlog.purge_failures(failed, " ", str(tmp_path / "p"))
@@ -149,6 +198,51 @@ def test_sweep_and_purge(spark, tmp_path):
     assert spark.read.parquet(paths["archived"]).count() == 4
 
 
+def test_attempts_wait_longer_each_time(monkeypatch):
+    class AuthenticationError(Exception):
+        pass
+
+    waits, calls = [], []
+    monkeypatch.setattr(runlog.time, "sleep", waits.append)
+
+    def flaky(key):
+        calls.append(key)
+        return " " if len(calls) < 3 else "text"
+
+    def refused(key):
+        raise AuthenticationError("no")
+
+    assert runlog.attempted(flaky, "k", 3, 2.0) == ("text", 3, None) and waits == [2.0, 4.0]
+    assert runlog.attempted(refused, "k", 3, 2.0) == (None, 1, "AuthenticationError: no") and len(waits) == 2
+
+
+def test_rank_metrics_over_many_ranges(spark):
+    """Against a count of all pairs, with ties, one score only and null groups."""
+    import random
+
+    from rulesieve.operators import downstream
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, 0.5, 1e9, rng.random()]), rng.randint(0, 1)) for _ in range(400)] + [("c", 0.25, 1), ("c", 0.25, 0), ("d", 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, y int")
+
+    def auc(some):
+        wins = [(p > q) + (p == q) / 2 for _, p, a in some if a for _, q, b in some if not b]
+        return sum(wins) / len(wins) if wins else None
+
+    def precision(some):
+        total = sum(y for _, _, y in some)
+        return sum(y * sum(b for _, t, b in some if t >= s) / sum(t >= s for _, t, _ in some) for _, s, y in some) / total
+
+    of = lambda g: [r for r in rows if r[0] == g]
+    got = {r["g"]: r["auc"] for r in downstream.roc_auc(df, ["g"]).collect()}
+    assert got == {g: pytest.approx(auc(of(g))) if g != "d" else None for g in ("a", "b", "c", "d", None)}
+    assert downstream.roc_auc(df).first()["auc"] == pytest.approx(auc(rows))
+    got = {r["g"]: r["average_precision"] for r in downstream.average_precision(df, ["g"]).collect()}
+    assert got == {g: pytest.approx(precision(of(g))) for g in ("a", "b", "c", "d", None)}
+    assert downstream.average_precision(df).first()["average_precision"] == pytest.approx(precision(rows))
+
+
 def test_streaming_gate(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     (tmp_path / "in").mkdir()
