@@ -52,18 +52,17 @@ def _shuffles_end_with_their_query(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, dictionary: bool = True) -> DataFrame:
+def staged(df: DataFrame, name: str, dictionary: bool = True, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without
     recomputing ``df``, and several readers share one computation.  The table is
-    removed when the driver's process ends.
+    removed when the driver's process ends.  ``few_files`` deals rows that many
+    tasks make few of into files of the session's advisory size first.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/rulesieve-{uuid.uuid4().hex}/{name}"
-    writer = df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower())  # hashes gain nothing from one
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    writer = (df.hint("rebalance") if few_files else df).write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower())  # hashes gain nothing from one
     with _shuffles_end_with_their_query(spark):
         writer.parquet(path)
     atexit.register(_forget, spark, path.rpartition("/")[0])
