@@ -15,6 +15,7 @@ lost executor's task, run again, gives the same rows.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import sys
 import zlib
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 LINEAR = 4096
 BLOCK_TOKENS = 2_000_000
-#: Entries after which a worker's word cache starts anew: some 120 MB.
-WORD_CACHE = 500_000
+#: Entries after which a worker's word cache starts anew: some 200 MB.
+WORD_CACHE = 800_000
 #: Characters of text that are encoded together.
 ENCODE_CHARS = 2_000_000
 #: Longer words are encoded each time, so the cache stays small.
@@ -84,7 +85,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = re.compile("|".join(re.escape(x.lower()) for x in special)) if special else None
+        #: What all special strings begin with, up to the first letter: texts without it need no closer look.
+        self.hint = re.match(r"[\W\d_]*", os.path.commonprefix(special))[0]
         normalizer = self.tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("Aa Zz \u00c9") == "aa zz \u00e9"
         self.cache: dict[str, bytes] = {"": b""}
@@ -99,7 +102,7 @@ class WordEncoder:
         return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if "\u0130" in t or self.special is not None and (self.special.search(t) or self.special.search(t.lower()))}
+        whole = {i for i, t in enumerate(texts) if "\u0130" in t or self.special is not None and self.hint in t and self.special.search(t.lower())}
         parts = [[] if i in whole else self._parts(t) for i, t in enumerate(texts)]
         if len(self.cache) > WORD_CACHE:
             self.cache = {"": b""}
