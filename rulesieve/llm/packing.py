@@ -23,6 +23,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 LINEAR = 4096
 BLOCK_TOKENS = 2_000_000
-#: Entries after which a worker's word cache starts anew: some 200 MB.
-WORD_CACHE = 800_000
+#: Entries after which a worker's word cache is cut back to its first ones, and those that stay between tasks: some 150 and 50 MB.
+WORD_CACHE, WORDS_KEPT = 600_000, 200_000
 #: Characters of text that are encoded together.
 ENCODE_CHARS = 2_000_000
 #: Longer words are encoded each time, so the cache stays small.
@@ -101,11 +102,15 @@ class WordEncoder:
             text = text.lower()
         return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
 
+    def shrink(self) -> None:
+        """Forget all but the first words seen, among which frequent ones are."""
+        self.cache = dict(islice(self.cache.items(), WORDS_KEPT))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if "\u0130" in t or self.special is not None and self.hint in t and self.special.search(t.lower())}
         parts = [[] if i in whole else self._parts(t) for i, t in enumerate(texts)]
         if len(self.cache) > WORD_CACHE:
-            self.cache = {"": b""}
+            self.shrink()
         cache = self.cache
         missing = [w for w in set().union(*parts) if w not in cache]
         long = {}
@@ -170,7 +175,8 @@ def pack_block(pieces: Iterable[Piece], capacity: int) -> list[tuple[float, list
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, capacity: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    encode = _encoder(path).ids
+    encoder = _encoder(path)
+    encode = encoder.ids
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 36
     end = end_id.to_bytes(4, "little")
@@ -224,6 +230,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, capa
             at = upto
     if pieces:
         yield from emit(True)
+    encoder.shrink()
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
