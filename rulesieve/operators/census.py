@@ -17,12 +17,13 @@ def _level(df: DataFrame, column: str) -> Column:
     return F.when(present(df, column), F.col(quoted(column)).cast("string"))
 
 
-def census(df: DataFrame, exact_distinct: bool = True, exact_quantiles: bool = True) -> DataFrame:
+def census(df: DataFrame, exact_distinct: bool = False, exact_quantiles: bool = False) -> DataFrame:
     """One row per column: ``column, logical_type, null_rate, distinct_count, min_value, max_value, q01..q99``.
 
-    Two passes: one wide aggregate for everything but exact distinct counts,
-    which come from one count over (column, value) pairs.  At scale, choose the
-    approximate forms: exact quantiles and distincts hold every distinct value.
+    One pass with sketches of bounded size.  Exact quantiles hold every distinct
+    value of a column in one place, and exact distinct counts take a second pass
+    with a shuffle of (column, value) pairs, so both are for tables whose columns'
+    distinct values are known to fit.
     """
     columns = df.columns
     parts = [F.count(F.lit(1)).alias("rows")]

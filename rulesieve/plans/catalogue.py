@@ -269,7 +269,7 @@ def coded(spark, sf, vacuous=False, rules_of=CODED, sentinels=SENTINELS):
     rows = [r.asDict() for r in parsing.explode_rules(parsing.parse_rulesets(raw), ["set_id"]).collect()]  # rule-sized
     rules = [parsing.rule_of(r) for r in rows if r["executable"]]
     kept = retention.rule_retention(customer, rules)
-    facts = {r["column"]: r for r in census.census(customer).collect()}  # column-sized
+    facts = {r["column"]: r for r in census.census(customer, True, True).collect()}  # column-sized
     levels: dict[str, list] = {}
     for r in census.top_levels(customer, ["c_mktsegment", "c_nationkey"]).orderBy("place").collect():
         levels.setdefault(r["column"], []).append(r["value"])
@@ -489,7 +489,7 @@ def _census_sql(t: str, columns: dict[str, str]) -> str:
 for _t, _columns in CENSUS.items():
 
     def _census(spark, sf, t=_t, names=tuple(_columns)):
-        df = census.census(table(spark, sf, t).select(*names))
+        df = census.census(table(spark, sf, t).select(*names), True, True)
         return df.withColumns({f"q{n}": F.round(f"q{n}", 6) for n in ("01", "25", "50", "75", "99")})
 
     query(f"n_census_{_t}", _census_sql(_t, _columns))(_census)
@@ -581,7 +581,7 @@ def x_bootstrap(spark, sf):
 def b_schema(spark, sf):
     df = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     places = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column string, place int")
-    return payload.schema_lines(census.census(df).join(F.broadcast(places), "column"), "nation")
+    return payload.schema_lines(census.census(df, True, True).join(F.broadcast(places), "column"), "nation")
 
 
 @query("b_sample_lines", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","nothing":null}' AS line
@@ -747,12 +747,14 @@ def m_contrast(spark, sf):
     return downstream.contrast(spark.createDataFrame([("block", -0.25), ("random", -0.125), ("outside", 0.0)], "gate string, delta double"))
 
 
-@query("m_trees")
+@query("m_trees", "SELECT TRUE AS learns, round_even(0.3 * count(*), 0)::BIGINT AS n FROM customer")
 def m_trees(spark, sf):
-    d = table(spark, sf, "customer").withColumn("y", (F.col("c_acctbal") > 4000).cast("int"))
+    """A label that one feature tells, where that is not missing: the area under the curve of rows that were not fitted."""
+    balance = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal"))
+    d = table(spark, sf, "customer").withColumns({"y": (F.col("c_acctbal") > 4000).cast("int"), "balance": balance})
     parts = splitting.split(d, "c_custkey", 0.3, "test", "test")
-    scored_rows = downstream.fit_trees(parts.filter("NOT test"), parts.filter("test"), ["c_nationkey", "c_custkey"])
-    return downstream.roc_auc(scored_rows)
+    found = downstream.fit_trees(parts.filter("NOT test"), parts.filter("test"), ["balance", "c_nationkey"])
+    return downstream.roc_auc(found).crossJoin(found.agg(F.count(F.lit(1)).alias("n"))).select((F.col("auc") > 0.85).alias("learns"), "n")
 
 
 # maps cannot be compared, so the reports' inputs are literals on both sides
@@ -852,7 +854,7 @@ def n_attach(spark, sf):
 def _facts(spark, sf):
     df = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
     places = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column string, place int")
-    facts = census.attach_docs(census.census(df).join(F.broadcast(places), "column"), spark.createDataFrame([("c_acctbal", "Balance")], "column string, doc string"))
+    facts = census.attach_docs(census.census(df, True, True).join(F.broadcast(places), "column"), spark.createDataFrame([("c_acctbal", "Balance")], "column string, doc string"))
     return df, facts, census.top_levels(df)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,15 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(wide).option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad IS NULL").drop("_bad")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
+def append_log(rows: DataFrame, path: str, key: list[str] | None = None) -> None:
+    """Append JSON lines; with a key, rows whose key the log has already are left out, so a repeated append changes nothing."""
+    if key:
+        try:
+            known = read_log(rows.sparkSession, path, rows.select(*key).schema.simpleString()[7:-1].replace(":", " "))
+        except AnalysisException:  # no log yet
+            known = None
+        rows = rows.dropDuplicates(key)
+        rows = rows if known is None else rows.join(known, key, "left_anti")
     rows.write.mode("append").json(path)
 
 

@@ -128,10 +128,10 @@ def test_notebooks_are_written_back(spark, tmp_path):
 
 def test_census_of_mixed_columns(spark):
     df = spark.createDataFrame([("1", 1.5, None), ("2", float("nan"), None), ("x", None, None)], "t string, f double, e string")
-    got = {r["column"]: r for r in census.census(df).collect()}
+    got = {r["column"]: r for r in census.census(df, True, True).collect()}
     assert (got["t"]["logical_type"], got["f"]["logical_type"], got["e"]["logical_type"]) == ("string", "float", "string")
     assert got["f"]["null_rate"] == pytest.approx(2 / 3) and got["e"]["distinct_count"] == 0 and got["t"]["distinct_count"] == 3
-    rough = {r["column"]: r["distinct_count"] for r in census.census(df, exact_distinct=False, exact_quantiles=False).collect()}
+    rough = {r["column"]: r["distinct_count"] for r in census.census(df).collect()}
     assert rough["t"] == 3
 
 
@@ -147,6 +147,14 @@ def test_log_skips_damage(spark, tmp_path):
     assert [r["corpus"] for r in corpora.read_log(spark, str(path), "corpus string, ok boolean").collect()] == ["a"]
 
 
+def test_log_grows_once_a_key(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for rows in ([("a", 1, True)], [("a", 1, False), ("a", 2, True)], [("a", 2, True), ("a", 2, True)]):
+        corpora.append_log(spark.createDataFrame(rows, "corpus string, seed long, ok boolean"), path, ["corpus", "seed"])
+    got = corpora.read_log(spark, path, "corpus string, seed long, ok boolean").orderBy("seed").collect()
+    assert [tuple(r) for r in got] == [("a", 1, True), ("a", 2, True)]
+
+
 def test_registry(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "p"))
     reg = corpora.Registry(corpora.Corpus("p", (str(tmp_path / "p"), str(tmp_path / "p")), expected_rows=10), corpora.Corpus("q", (str(tmp_path / "none"),)), corpora.Corpus("z", (str(tmp_path / "p"),), "odd"), corpora.Corpus("w", (str(tmp_path / "p"),), expected_rows=6))
