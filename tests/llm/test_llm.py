@@ -619,9 +619,12 @@ def test_near_copies_odd_rows(odd, empty):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "4", "5", "7", "None"]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 3, components.FEW])
+def test_components_of_a_long_chain(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (700, 600)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(edges, few=few).collect()}
+    named = edges.select(*[F.struct(F.lit(None).cast("string").alias("s"), F.col(c).alias("n")).alias(c) for c in "ab"])
+    assert {r["node"]["n"]: r["component"]["n"] for r in components.connected_components(named, few=few).collect()} == got
     assert got == {**{i: 0 for i in range(201)}, 600: 600, 700: 600}
 
 
