@@ -44,7 +44,7 @@ LONGEST_CACHED = 64
 
 #: Beyond Latin letters, lower case may depend on context or version.
 _PLAIN = re.compile("[^\x00-\u012f\u0132-\u024f]")
-_STOP = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n]|$)")
+_STOP = re.compile(r"[.,]+(?=[ \n]|$)")
 
 PIECES = T.StructType([
     T.StructField("start", T.LongType(), False),
@@ -82,6 +82,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has a core, and more threads only cost time
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
@@ -100,7 +101,14 @@ class WordEncoder:
     def _parts(self, text: str) -> list[str]:
         if self.lowers and _PLAIN.search(text) is None:
             text = text.lower()
-        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        cut, last = [], 0
+        for stop in _STOP.finditer(text):
+            at = stop.start()
+            if at and text[at - 1].isalnum():
+                cut.append(text[last:at])
+                last = at
+        cut.append(text[last:])
+        return " ".join(cut).replace("\n", " ").split(" ")
 
     def shrink(self) -> None:
         """Forget all but the first words seen, among which frequent ones are."""
@@ -113,12 +121,11 @@ class WordEncoder:
             self.shrink()
         cache = self.cache
         missing = [w for w in set().union(*parts) if w not in cache]
-        long = {}
-        for word, ids in zip(missing, self._encode(missing), strict=True):
-            (cache if len(word) <= LONGEST_CACHED else long)[word] = ids
-        if long:
-            cache = cache | long
+        cache.update(zip(missing, self._encode(missing), strict=True))
         out = [b"".join(map(cache.__getitem__, p)) for p in parts]
+        for word in missing:
+            if len(word) > LONGEST_CACHED:
+                del cache[word]
         for i in whole:
             out[i] = self._encode([texts[i]])[0]
         return out
