@@ -57,6 +57,18 @@ PIECES = T.StructType([
 ])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, the rest in order from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+#: Words that tell whether the model alone gives a word's ids.
+_PROBES = ("o", "the", "zzxq", "internationalisation", "\u00e9levi", "stra\u00dfe", "\u0161\u010dep", "na\u00efvet\u00e9")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -75,7 +87,8 @@ class WordEncoder:
     The tokenizer's pre-tokenizer never joins characters across a space or line
     feed, nor a letter or digit with punctuation after it, so a text's ids are
     its parts' ids in order.  Words are looked up in a bounded cache; those that
-    are missing are encoded together.  Lower case is taken early, to share
+    are missing are encoded together, words of small Latin letters by the model
+    alone.  Lower case is taken early, to share
     entries, only where it cannot change what the tokenizer sees; texts that hold
     one of the tokenizer's special strings, in whatever case, or the one letter
     whose lower case ends in a mark, go to the tokenizer whole.
@@ -93,6 +106,24 @@ class WordEncoder:
         normalizer = self.tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("Aa Zz \u00c9") == "aa zz \u00e9"
         self.cache: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.direct = self.lowers and all(self._letters(w) == self._encode([w])[0] for w in _PROBES)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of small Latin letters, from the model alone: nothing before it would change or cut the word."""
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(_BYTES)
+        return _little(array("I", [t.id for t in self.tokenize(word)]))
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each word, the quick way where that is safe."""
+        rest = []
+        for w in words:
+            if self.direct and w.isalpha() and w.islower() and _PLAIN.search(w) is None:
+                yield w, self._letters(w)
+            else:
+                rest.append(w)
+        yield from zip(rest, self._encode(rest), strict=True)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         # a token id has four bytes, the lowest first
@@ -121,7 +152,7 @@ class WordEncoder:
             self.shrink()
         cache = self.cache
         missing = [w for w in set().union(*parts) if w not in cache]
-        cache.update(zip(missing, self._encode(missing), strict=True))
+        cache.update(self._new(missing))
         out = [b"".join(map(cache.__getitem__, p)) for p in parts]
         for word in missing:
             if len(word) > LONGEST_CACHED:

@@ -244,8 +244,9 @@ def test_op3_ids_of_odd_texts():
     pool = list("abz AZ.,'\n\t0 9_-") + list("\u03a3\u03c2\u03c3\u0386\u03ac\u00c9\u00e9\u00df\u0130\u0131\u01c5\u0149\ufb01\u4e2d\u6587\u3002\u0663\u0301\u0345\u200b\u3000\x1c\x85\xa0")
     pool += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", " 's", "'LL", "x<|", "|>", "\u0130,"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz" * 3 + "\u00e9\u00df\u00e4\u00f6\u00fc\u0161\u010d\u01c6\u024f\u00aa\u01bb") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
     encoder = packing.WordEncoder()
-    assert encoder.ids(texts) == encoder._encode(texts)
+    assert encoder.direct and encoder.ids(texts) == encoder._encode(texts) and encoder.ids(words) == encoder._encode(words)
 
 
 def test_op3_costs_are_balanced():
