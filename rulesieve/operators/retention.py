@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import NotExecutable, Rule, canonical, mask, with_unique_counts
 
 #: Counts in one aggregate; the compiler of the JVM leaves wider ones' methods interpreted.
-CHUNK = 40
+CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ def unpivoted(df: DataFrame, tests: list[Column]) -> DataFrame:
     """``i, n, rows``: for each test how many of how many rows pass; one pass over the table a chunk of tests."""
     parts = []
     for k, row in enumerate(counted(df, tests)):
-        cells = [F.struct(F.lit(k * CHUNK + j).alias("i"), F.col(f"n{j}").alias("n"), F.col("rows")) for j in range(min(CHUNK, len(tests) - k * CHUNK))]
-        parts.append(row.select(F.inline(F.array(*cells))))
+        counts = F.array(*[f"n{j}" for j in range(min(CHUNK, len(tests) - k * CHUNK))])
+        cells = row.select("rows", F.posexplode(counts).alias("j", "n"))
+        parts.append(cells.select((F.col("j") + k * CHUNK).alias("i"), "n", "rows"))
     return reduce(DataFrame.unionByName, parts)
 
 
