@@ -408,6 +408,30 @@ def test_op6_crowds_are_settled_by_leaders(spark, monkeypatch):
     assert linededup._crowd_pairs(classes, 0.8).count() > 0
 
 
+@pytest.mark.parametrize("crowd", [2, 128])
+def test_op6_counts_every_link_of_a_crowd(spark, monkeypatch, crowd):
+    """Links between two lines that both go count like any others; what is removed does not depend on the way it is found."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(20)]
+    rows = []
+    for k in range(60):
+        line = words.copy()
+        for j in rng.sample(range(20), k % 4):
+            line[j] = f"own{rng.randrange(30)}"
+        rows.append((k, " ".join(line) + f"\nalone{k} b{k}\n" + " ".join(words[: 16 + k % 4])))
+    sets = {(d, i): frozenset(line.split()) for d, text in rows for i, line in enumerate(text.split("\n"))}
+    classes = set(sets.values())
+    degree = {s: sum(s != t and len(s & t) >= 0.8 * len(s | t) - 1e-9 for t in classes) for s in classes}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] + r["n_removed_links"] for r in linededup.line_report(docs).collect()}
+    assert got == {d: sum(degree[sets[d, i]] for i in range(3)) for d, _ in rows}
+    assert {(r["d"]["id"], r["line_no"]): r["links"] for r in linededup.line_verdicts(docs).collect()}.items() <= {p: degree[s] for p, s in sets.items()}.items()
+    gone = {d: set(map(int, r[3].split(","))) if r[3] else set() for d, r in brute.line_report(rows).items()}
+    kept = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(docs).collect()}
+    assert kept == {d: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[d]) for d, text in rows}
+
+
 # media
 
 
