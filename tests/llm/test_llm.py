@@ -408,6 +408,23 @@ def test_op6_crowds_are_settled_by_leaders(spark, monkeypatch):
     assert linededup._crowd_pairs(classes, 0.8).count() > 0
 
 
+def test_stages_start_no_process_a_file(spark):
+    """Hadoop sets modes of files, and of their checksum files, by a child process each; a stage has neither."""
+    import os
+    import stat
+
+    from rulesieve.llm.shared import staged
+
+    umask = os.umask(0o077)
+    os.umask(umask)
+    kept = staged(spark.range(5), "five")
+    paths = [f.removeprefix("file:").replace("///", "/") for f in kept.inputFiles()]
+    assert kept.count() == 5 and paths
+    for path in paths:
+        assert stat.S_IMODE(os.stat(path).st_mode) == 0o666 & ~umask
+        assert not [x for x in os.listdir(os.path.dirname(path)) if x.endswith(".crc")]
+
+
 @pytest.mark.parametrize("crowd", [2, 128])
 def test_op6_counts_every_link_of_a_crowd(spark, monkeypatch, crowd):
     """Links between two lines that both go count like any others; what is removed does not depend on the way it is found."""
