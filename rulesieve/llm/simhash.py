@@ -17,6 +17,10 @@ bits, under all 2081 fingerprints within two bits of their own: members of one
 such ball are within four bits of each other by construction, and any two
 fingerprints within four bits share one, so a star per ball loses no link.  For
 more bits, under the points around segments cut at other places.
+
+Where links are verified on the texts as well, a forest is not enough: its links
+need not hold where others do.  Members of entries that had one are then compared
+again, all pairs but those that verified links have connected.
 """
 
 from __future__ import annotations
@@ -105,8 +109,8 @@ def _forest(members: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _runs(keys: np.ndarray, values: np.ndarray, bits: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Links ``(a, b, None)`` inside each run of equal keys; members of crowded runs as ``(fp, key, crowd)``."""
+def _runs(keys: np.ndarray, values: np.ndarray, bits: int, bucket: int, members: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Links ``(a, b, None)`` inside each run of equal keys; members of crowded runs, and if asked of those with a forest only, as ``(fp, key, crowd)``."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
     sizes = ends - starts
@@ -115,6 +119,8 @@ def _runs(keys: np.ndarray, values: np.ndarray, bits: int, bucket: int) -> Itera
         if j - i > bucket:
             yield values[i:j], keys[i:j], np.ones(j - i, bool)
             continue
+        if members:
+            yield values[i:j], keys[i:j], np.zeros(j - i, bool)
         left, right = _forest(values[i:j].view(np.uint64), bits)
         if left:
             yield values[i:j][left], values[i:j][right], None
@@ -130,13 +136,14 @@ def _runs(keys: np.ndarray, values: np.ndarray, bits: int, bucket: int) -> Itera
             yield values[near], values[near + step], None
 
 
-def _verify(batches: Iterator[pa.RecordBatch], bits: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of equal keys, as (a, b, null); members of crowded entries as (fp, null, key)."""
+def _verify(batches: Iterator[pa.RecordBatch], bits: int, bucket: int, members: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of equal keys, as (a, b, null); members of crowded entries as (fp, null, key), of those with a forest only as (fp, fp, key)."""
     keys, values, crowded = np.empty(0, np.int64), np.empty(0, np.int64), None
 
     def out(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), none if crowd is not None else pa.array(b), none if crowd is None else pa.array(b)], names=["a", "b", "k"])
+        other = pa.array(b) if crowd is None else none if crowd.all() else pa.array(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), other, none if crowd is None else pa.array(b)], names=["a", "b", "k"])
 
     for batch in batches:
         keys = np.concatenate([keys, np.asarray(batch.column(0))])
@@ -151,14 +158,14 @@ def _verify(batches: Iterator[pa.RecordBatch], bits: int, bucket: int) -> Iterat
         crowded = None
         open_from = int(np.searchsorted(keys, keys[-1]))
         if open_from:
-            for found in _runs(keys[:open_from], values[:open_from], bits, bucket):
+            for found in _runs(keys[:open_from], values[:open_from], bits, bucket, members):
                 yield out(*found)
         keys, values = keys[open_from:], values[open_from:]
         if len(keys) > bucket:
             yield out(values, keys, np.ones(len(keys), bool))
             crowded, keys, values = keys[0], keys[:0], values[:0]
     if len(keys):
-        for found in _runs(keys, values, bits, bucket):
+        for found in _runs(keys, values, bits, bucket, members):
             yield out(*found)
 
 
@@ -212,26 +219,36 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fingerprint_links(prints: DataFrame, bits: int = DIFFERING_BITS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct ``fp`` within ``bits`` bits."""
-    kinds = "a bigint, b bigint, k bigint"
+def _by_entry(entries: DataFrame) -> DataFrame:
+    return entries.repartition("k").sortWithinPartitions("k")
 
-    def verified(entries: DataFrame, most: int) -> DataFrame:
-        return entries.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _verify(it, bits, most), kinds)
 
-    found = staged(verified(prints.mapInArrow(lambda it: _entries(it, bits), "k bigint, fp bigint"), bucket), "links")
-    links, crowd = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL")
+def _searched(prints: DataFrame, bits: int, bucket: int, members: bool = False) -> DataFrame:
+    """What ``_verify`` makes of the index of the distinct ``fp``."""
+    entries = _by_entry(prints.mapInArrow(lambda it: _entries(it, bits), "k bigint, fp bigint"))
+    return staged(entries.mapInArrow(lambda it: _verify(it, bits, bucket, members), "a bigint, b bigint, k bigint"), "links")
+
+
+def _connecting(found: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that connect exactly the fingerprints within ``bits`` bits, from what was ``_searched``."""
+    links, crowd = found.filter("k IS NULL").select("a", "b").distinct(), found.filter("b IS NULL")
     if crowd.isEmpty():
         return links
     if bits > 4:
         again = crowd.select(F.col("a").alias("fp"), "k").mapInArrow(lambda it: _entries_in_crowds(it, bits), "k bigint, fp bigint")
-        return links.unionByName(verified(again, 1 << 62).select("a", "b")).distinct()
+        inside = _by_entry(again).mapInArrow(lambda it: _verify(it, bits, 1 << 62), "a bigint, b bigint, k bigint")
+        return links.unionByName(inside.select("a", "b")).distinct()
     centres = crowd.select(F.col("a").alias("fp")).distinct().mapInArrow(_balls, "k bigint, fp bigint")
     hub = centres.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a != top").select("k", "a")
     stars = centres.join(hub, "k").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return links.unionByName(stars)
 
 
+def fingerprint_links(prints: DataFrame, bits: int = DIFFERING_BITS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect exactly the distinct ``fp`` within ``bits`` bits."""
+    return _connecting(_searched(prints, bits, bucket), bits)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = DIFFERING_BITS, bucket: int = BUCKET) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (hex), ``component_id``.
 
@@ -271,15 +288,100 @@ def _similar(edges: DataFrame, texts: DataFrame, width: int, similarity: float)
     return edges.join(side("a"), "a").join(side("b"), "b").withColumn("both", both).filter(F.col("both") >= either * F.lit(similarity) - 1e-9).select("a", "b")
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_SHINGLE, bits: int = COPY_BITS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+def _class_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+        prints = np.array([simhash(h) for h in hashes], np.uint64).view(np.int64)
+        sets = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sets)], names=["d", "fp", "shingles"])
+
+
+def _apart(fp: np.ndarray, label: np.ndarray, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within ``bits`` bits but those of one known label."""
+    order = np.lexsort((label, known))
+    fp, label, unknown = fp[order], label[order], int(np.count_nonzero(~known))
+    after = np.r_[np.arange(1, unknown + 1), unknown + np.searchsorted(label[unknown:], label[unknown:], side="right")].astype(np.int64)
+    left, right = [], []
+    for i, start in enumerate(after.tolist()):
+        if start == len(fp):
+            break
+        near = np.flatnonzero(np.bitwise_count(fp[start:] ^ fp[i]) <= bits) + start
+        if len(near):
+            left.append(np.repeat(fp[i], len(near)))
+            right.append(fp[near])
+    none = np.empty(0, np.uint64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _apart_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that are ``_apart`` inside each run of equal ``k`` of sorted rows ``k, fp, label``."""
+    held: list[list[np.ndarray]] = []
+
+    def ended(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, fp, label, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        pairs = [_apart(fp[i:j], label[i:j], known[i:j], bits) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True) if j > i + 1]
+        for a, b in pairs:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, label = np.asarray(batch.column(0)), batch.column(2)
+        columns = [keys, np.asarray(batch.column(1)).view(np.uint64), np.asarray(label.fill_null(0)), ~np.asarray(label.is_null())]
+        last = int(np.searchsorted(keys, keys[-1]))
+        if held and (last or held[-1][0][-1] != keys[0]):
+            yield from ended([*held, [c[:last] for c in columns]])
+            held = []
+        elif last:
+            yield from ended([[c[:last] for c in columns]])
+        held.append([c[last:] for c in columns])
+    if held:
+        yield from ended(held)
+
+
+def _copy_links(classes: DataFrame, texts: DataFrame, width: int, bits: int, similarity: float, bucket: int) -> DataFrame:
+    """Links (a, b) that connect exactly the ``d`` of ``classes`` whose fingerprints are within ``bits`` bits and whose shingle sets are similar.
+
+    First the links that connect fingerprints are verified, between the least of
+    each.  Not all links need hold, so what they leave apart is then compared
+    again: all pairs of classes, but those that are connected by now.
+    """
+    prints = staged(classes.groupBy("fp").agg(F.min("d").alias("least")), "distinct")
+    found = _searched(prints.select("fp"), bits, bucket, members=True)
+    links = staged(_connecting(found, bits), "connecting")
+    same = classes.join(prints, "fp").filter("d != least").select(F.col("least").alias("a"), F.col("d").alias("b"))
+    near = links.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b")
+    edges = staged(same.unionByName(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct(), "edges")
+    sure = staged(_similar(edges, texts, width, similarity), "sure")
+
+    groups = connected_components(sure)
+    label = F.xxhash64(F.coalesce("component", "d")).alias("label")
+    named = staged(classes.join(groups.withColumnRenamed("node", "d"), "d", "left").select("fp", "d", label), "named")
+    known = F.when(F.min("label") == F.max("label"), F.min("label")).alias("label")
+    labels = staged(named.groupBy("fp").agg(known, F.count(F.lit(1)).alias("classes")), "labels")
+    listed = found.filter("k IS NOT NULL AND b IS NOT NULL").select("k", F.col("a").alias("fp"))
+    crowded = found.filter("b IS NULL").select(F.col("a").alias("fp"), "k").mapInArrow(lambda it: _entries_in_crowds(it, bits), "k bigint, fp bigint")
+    of_entries = _by_entry(listed.unionByName(crowded).join(labels.select("fp", "label"), "fp").select("k", "fp", "label"))
+    pairs = of_entries.mapInArrow(lambda it: _apart_batches(it, bits), "a bigint, b bigint")
+    several = labels.filter("classes > 1").select("fp")
+    held = links.join(several, F.col("a") == F.col("fp"), "left_semi").unionByName(links.join(several, F.col("b") == F.col("fp"), "left_semi"))
+    mixed = labels.filter("label IS NULL").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    pairs = pairs.unionByName(held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(mixed).distinct()
+    side = lambda c, d: named.select(F.col("fp").alias(c), F.col("d").alias(d), F.col("label").alias(f"label_{c}"))
+    left_apart = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("label_a != label_b AND (a != b OR u < v)")
+    rest = staged(left_apart.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "rest").join(edges, ["a", "b"], "left_anti")
+    return sure if rest.isEmpty() else sure.unionByName(_similar(rest, texts, width, similarity))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_SHINGLE, bits: int = COPY_BITS, similarity: float = COPY_SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """One row of each group of near copies, the first by id and text hash; ``docs``' columns unchanged.
 
     Documents link if their fingerprints differ in at most ``bits`` bits and the
     Jaccard similarity of their shingle sets is at least ``similarity``; links
-    make groups.  Two restrictions of the search keep it linear in crowds:
-    documents of one fingerprint are held against the first of them, which alone
-    is held against those of other fingerprints, and in entries of more than
-    ``SMALL`` members against one member that is near, not against all.
+    make groups.  Documents of one fingerprint and one shingle set take part once;
+    all other pairs are compared but those that further links would not change.
 
     An id on rows of different texts is as many documents; of rows that repeat
     both id and text one stays.  Null text is empty text, and texts without words
@@ -288,14 +390,10 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"))
     texts = docs.select(key.alias("d"), text_or_empty(text_col).alias("text"))
-    rows = staged(fingerprints(texts, "d", "text", width).withColumnRenamed("__id", "d"), "fingerprints")
-    once = rows.groupBy("fp", "d").agg(F.count(F.lit(1)).alias("rows"))
-    distinct = staged(once.groupBy("fp").agg(F.min("d").alias("least")), "distinct")
-    links = fingerprint_links(distinct.select("fp"), bits)
-    same = rows.join(distinct, "fp").filter("d != least").select(F.col("least").alias("a"), F.col("d").alias("b"))
-    near = links.join(distinct.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b")
-    edges = staged(same.unionByName(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct(), "edges")
-    groups = connected_components(_similar(edges, texts, width, similarity))
+    kind = texts.schema["d"].dataType.simpleString()
+    rows = staged(texts.mapInArrow(lambda it: _class_batches(it, width), f"d {kind}, fp bigint, shingles bigint"), "fingerprints")
+    classes = staged(rows.groupBy("fp", "shingles").agg(F.min("d").alias("d")), "classes")
+    groups = connected_components(_copy_links(classes, texts, width, bits, similarity, bucket))
     gone = groups.filter("node != component").select(F.col("node").alias("first"))
-    kept = staged(rows.select(F.col("d").alias("first")).distinct().join(gone, "first", "left_anti"), "kept")
+    kept = staged(classes.select(F.col("d").alias("first")).join(gone, "first", "left_anti"), "kept")
     return one_row_each(docs, key, kept, rows.select("d"))

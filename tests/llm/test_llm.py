@@ -655,6 +655,28 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(got) == sorted(expected) and len(expected) < 0.6 * len(texts)
 
 
+@pytest.mark.parametrize("bucket", [3, simhash.BUCKET])
+@pytest.mark.parametrize("times", [3, 60])
+def test_near_copies_in_crowds_of_other_texts(spark, times, bucket):
+    """Fingerprints that a common passage makes near (3 times) or equal (60 times): a link counts even where both texts are unlike the first of the crowd."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    common = " ".join(word() for _ in range(60))
+    texts = []
+    for _ in range(25):
+        own = [word() for _ in range(60)]
+        for k in range(4):
+            edited = own.copy()
+            for _ in range(k):
+                edited[rng.randrange(60)] = word()
+            texts.append(" ".join([common] * times + edited))
+    rng.shuffle(texts)
+    expected = first_of_each(dict(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["doc_id"] for r in simhash.without_near_copies(docs, bucket=bucket).collect()]
+    assert sorted(got) == sorted(expected) and len(expected) < 60
+
+
 def test_near_copies_odd_rows(odd, empty):
     kept = simhash.without_near_copies(odd)
     assert kept.columns == odd.columns and simhash.without_near_copies(empty).count() == 0
