@@ -296,12 +296,12 @@ def _class_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(sets)], names=["d", "fp", "shingles"])
 
 
-def _apart(fp: np.ndarray, label: np.ndarray, known: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within ``bits`` bits but those of one known label."""
+def _apart(fp: np.ndarray, label: np.ndarray, known: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``bits`` bits but those of one known label, some 65,536 at a time."""
     order = np.lexsort((label, known))
     fp, label, unknown = fp[order], label[order], int(np.count_nonzero(~known))
     after = np.r_[np.arange(1, unknown + 1), unknown + np.searchsorted(label[unknown:], label[unknown:], side="right")].astype(np.int64)
-    left, right = [], []
+    left, right, n = [], [], 0
     for i, start in enumerate(after.tolist()):
         if start == len(fp):
             break
@@ -309,8 +309,12 @@ def _apart(fp: np.ndarray, label: np.ndarray, known: np.ndarray, bits: int) -> t
         if len(near):
             left.append(np.repeat(fp[i], len(near)))
             right.append(fp[near])
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+            n += len(near)
+        if n >= 1 << 16:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def _apart_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -320,9 +324,8 @@ def _apart_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
     def ended(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, fp, label, known = (np.concatenate(c) for c in zip(*parts, strict=True))
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        pairs = [_apart(fp[i:j], label[i:j], known[i:j], bits) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True) if j > i + 1]
-        for a, b in pairs:
-            if len(a):
+        for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+            for a, b in _apart(fp[i:j], label[i:j], known[i:j], bits):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
 
     for batch in batches:
