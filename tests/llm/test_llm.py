@@ -449,6 +449,29 @@ def test_op6_counts_every_link_of_a_crowd(spark, monkeypatch, crowd):
     assert kept == {d: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[d]) for d, text in rows}
 
 
+def test_op6_crowds_are_counted_not_joined(spark, monkeypatch):
+    """Of a crowd of near copies, pairs whose link is certain by their hub are counted without being made; the others are compared."""
+    monkeypatch.setattr(linededup, "CROWD", 20)
+    made = []
+    staged = linededup.staged
+    monkeypatch.setattr(linededup, "staged", lambda df, name, *more, **kw: made.append((name, staged(df, name, *more, **kw))) or made[-1][1])
+    rng = random.Random(8)
+    bases = [[f"{b}w{i}" for i in range(n)] for b, n in (("a", 60), ("b", 45))]
+    rows = []
+    for k in range(240):
+        line = bases[k % 2].copy()
+        for j in rng.sample(range(len(line)), rng.choice([1, 1, 1, 2, 2, 3, 5]) if k > 1 else 0):
+            line[j] = f"own{k}x{j}" if rng.random() < 0.7 else f"shared{j}"
+        rows.append((k, " ".join(line)))
+    sets = {d: frozenset(line.split()) for d, line in rows}
+    assert len(set(sets.values())) > 200
+    degree = {d: sum(s != t and len(s & t) >= 0.8 * len(s | t) - 1e-9 for t in set(sets.values())) for d, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] + r["n_removed_links"] for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = sum(degree.values()) // 2
+    assert got == degree and links > 5000
+    assert 0 < sum(df.count() for name, df in made if name == "links") < links / 5
+
+
 # media
 
 
