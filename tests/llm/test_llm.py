@@ -449,6 +449,16 @@ def test_op6_counts_every_link_of_a_crowd(spark, monkeypatch, crowd):
     assert kept == {d: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[d]) for d, text in rows}
 
 
+def test_op6_rarity_is_counted_in_every_document(spark):
+    rows = [(i, f"word{i}\ncommon word{i}") for i in range(40)]
+    levels = linededup.rarity_levels(linededup._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    words = spark.createDataFrame([("common",)] + [(f"word{i}",) for i in range(40)], "w string").select("w", linededup._bucket(F.xxhash64("w")).alias("b")).collect()
+    counts: dict[int, int] = {}
+    for r in words:
+        counts[r["b"]] = counts.get(r["b"], 0) + (40 if r["w"] == "common" else 2)
+    assert {b: levels[b] for b in counts} == {b: int(4 * np.log2(n + 1)) for b, n in counts.items()} and sum(x > 0 for x in levels) == len(counts)
+
+
 def test_op6_crowds_are_counted_not_joined(spark, monkeypatch):
     """Of a crowd of near copies, pairs whose link is certain by their hub are counted without being made; the others are compared."""
     monkeypatch.setattr(linededup, "CROWD", 20)
