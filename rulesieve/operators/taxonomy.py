@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CODES, canonical
+from ..session import local_rows
 from .parsing import rule_of
 
 # Thresholds of the empirical codes.
@@ -68,7 +69,7 @@ def code_rules(rules: list[dict], schema: dict[str, dict], sentinels: dict[str,
         "set_id string, pos int, rule_id string, column string, predicate string, severity string, executable boolean, retention double, canonical string, known boolean, kind string, "
         "other_missing boolean, low double, high double, seen_min double, seen_max double, invented boolean, misread boolean, protected boolean"
     )
-    return assign_codes(spark.createDataFrame(rows, fields), vacuous)
+    return assign_codes(local_rows(spark, rows, fields), vacuous)
 
 
 def assign_codes(facts: DataFrame, vacuous: bool = False) -> DataFrame:
@@ -98,7 +99,7 @@ def assign_codes(facts: DataFrame, vacuous: bool = False) -> DataFrame:
 def code_histogram(coded: DataFrame) -> DataFrame:
     """Rules with each code and their share; all ten codes have a row."""
     spark = coded.sparkSession
-    all_codes = spark.createDataFrame([(k, i) for i, k in enumerate(CODES)], "code string, place int")
+    all_codes = local_rows(spark, [(k, i) for i, k in enumerate(CODES)], "code string, place int")
     counts = coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     total = coded.agg(F.count(F.lit(1)).alias("rules"))
     return all_codes.join(counts, "code", "left").join(F.broadcast(total)).select(

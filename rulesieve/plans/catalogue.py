@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rule, canonical, expectation, sql_check
 from ..functions.scalars import sql_literal
 from ..operators import census, downstream, notebooks, parsing, payload, reporting, retention, runlog, similarity, splitting, taxonomy
+from ..session import local_rows
 from ..sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +266,7 @@ SENTINELS = {"c_acctbal": [-1], "c_mktsegment": ["UNKNOWN"]}
 
 def coded(spark, sf, vacuous=False, rules_of=CODED, sentinels=SENTINELS):
     customer = table(spark, sf, "customer")
-    raw = spark.createDataFrame([(rules_of["set_id"], json.dumps({"rules": rules_of["rules"]}))], "set_id string, raw_response string")
+    raw = local_rows(spark, [(rules_of["set_id"], json.dumps({"rules": rules_of["rules"]}))], "set_id string, raw_response string")
     rows = [r.asDict() for r in parsing.explode_rules(parsing.parse_rulesets(raw), ["set_id"]).collect()]  # rule-sized
     rules = [parsing.rule_of(r) for r in rows if r["executable"]]
     kept = retention.rule_retention(customer, rules)

@@ -287,3 +287,15 @@ def test_m_trees_fits_all_rounds(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(downstream, "fit_trees", fit)
     catalogue.m_trees(spark, sf_dir).collect()
     assert asked == [150]
+
+
+def test_rule_sets_start_python_on_one_row_only(spark, sf_dir, monkeypatch):
+    """Neither the response nor the rules are dealt over all cores, each of which would start Python for its part."""
+    from rulesieve.plans import catalogue
+
+    parsed, parse = [], catalogue.parsing.parse_rulesets
+    monkeypatch.setattr(catalogue.parsing, "parse_rulesets", lambda df, *a: parsed.append(df) or parse(df, *a))
+    found = catalogue.coded(spark, sf_dir)
+    for df in (*parsed, found):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
+    assert len(parsed) == 1 and parsed[0].rdd.getNumPartitions() == 1
