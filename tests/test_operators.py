@@ -2,6 +2,7 @@ import ast
 import json
 import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,25 @@ def test_notebooks_are_written_back(spark, tmp_path):
     assert again == {("code", "a = 1\nb = 2", True), ("markdown", "# T", False), ("code", "x", False)}
 
 
+def test_exact_quantiles_hold_few_values(spark, monkeypatch):
+    """Only values near a quantile are counted one by one, and a sketch that is far off costs time, not exactness."""
+    n = 100_000
+    modal = F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 1000 == 1, float("nan")).otherwise(F.col("id") / 8)
+    df = spark.range(n, numPartitions=4).select(((F.col("id") * 7919) % n).alias("key"), modal.alias("modal"), ((F.col("id") % 2 - 1).cast("double") * 0.0).alias("zeros"), F.col("id").cast("string").alias("text"))
+    near, counted = [], census._near_counts
+    monkeypatch.setattr(census, "_near_counts", lambda *a: near.append(counted(*a)) or near[-1])
+    values = df.toPandas()
+    wanted = {c: np.quantile(values[c].astype(float).dropna(), census.QUANTILES) for c in df.columns}
+    for margins in (census.MARGINS, (0.0,)):
+        monkeypatch.setattr(census, "MARGINS", margins)
+        got = {r["column"]: r for r in census.census(df, True, True).collect()}
+        for c, w in wanted.items():
+            assert [got[c][f"q{round(q * 100):02d}"] for q in census.QUANTILES] == pytest.approx(list(w)), (margins, c)
+        assert [got[c]["distinct_count"] for c in df.columns] == [n, values["modal"].nunique(), 2, n]
+        if margins != (0.0,):
+            assert near and max(x.count() for x in near) < n / 100
+
+
 def test_census_of_mixed_columns(spark):
     df = spark.createDataFrame([("1", 1.5, None), ("2", float("nan"), None), ("x", None, None)], "t string, f double, e string")
     got = {r["column"]: r for r in census.census(df, True, True).collect()}
