@@ -879,6 +879,16 @@ def test_pipeline_blank_texts_stay(spark):
     assert {r["doc_id"]: r["text"] for r in p.drop_repeated_lines(spark, docs, None).collect()} == dict(enumerate(texts[:5]))
 
 
+def test_pipeline_line_dedup_orders_words_by_all_documents(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    made, levels = [], linededup.rarity_levels
+    monkeypatch.setattr(linededup, "rarity_levels", lambda keyed: made.append(levels(keyed)) or made[-1])
+    docs = spark.createDataFrame([(i, f"common w{i}", "en", "s", 10) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.drop_repeated_lines(spark, docs, None).count() == 40
+    assert max(made[0]) == int(4 * np.log2(41)) and sum(x > 0 for x in made[0]) > 38
+
+
 def test_pipeline_on_nothing(spark, sf_dir):
     import corpus_pipeline as p
 
